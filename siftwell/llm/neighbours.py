@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 
 from siftwell.session import materialize
 
-LIST_SIZE = 256
+LIST_SIZE = 1024
 #: Bounds of what is broadcast: centroids of at most 16,384 x 64 floats (4 MB) with their links, fitted on this many vectors.
 MAX_CENTROIDS = 16_384
 MAX_SAMPLE = 131_072
 #: A list expected to store more is split into parts; probing vectors visit every part.
 MAX_STORED = 16_384
-STORE_RATIO, STORE_MOST = 1.08, 3
-PROBE_RATIO, PROBE_MOST = 1.15, 5
+#: Distance ratios and numbers of lists: stored in, probed; and both for vectors with no centroid more similar than FAR.
+STORE_RATIO, STORE_MOST, PROBE_RATIO, PROBE_MOST = 1.2, 3, 1.25, 5
+FAR, FAR_STORE_MOST, FAR_PROBE_MOST = 0.42, 8, 14
 BROADCAST_IDS = 100_000
 
 
@@ -131,59 +132,68 @@ class Index:
         self.links = _top(self.pivots @ self.centroids.T, min(n, 64))
         near = min(n, 17)
         self.near = np.concatenate([_top(self.centroids[i : i + 1024] @ self.centroids.T, near) for i in range(0, n, 1024)])[:, 1:] if n > 1 else np.zeros((1, 0), np.int64)
-        lists, _ = self.search(x) if len(x) else (np.zeros((0, 1), int), None)
-        expected = np.bincount(lists[:, 0], minlength=n) * (rows / max(1, len(x))) * 2
+        _, lists, stored = self.place(x) if len(x) else (None, np.zeros(0, int), np.zeros(0, bool))
+        expected = np.bincount(lists[stored], minlength=n) * (rows / max(1, len(x)))
         self.parts = np.maximum(1, np.ceil(expected / MAX_STORED)).astype(np.int64)
 
-    def search(self, q: np.ndarray, most: int = PROBE_MOST, width: int = 12, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, most: int = FAR_PROBE_MOST, width: int = 20, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of about the ``most`` nearest centroids of each vector, nearest first.
 
-        From the pivot nearest to it each vector takes the linked centroids; then, while its best list still changes, it
-        follows the edges of its two nearest centroids not followed yet. Vectors are handled together, by pivot or by hop.
+        From the two pivots nearest to it each vector takes the linked centroids; then, while its best list still changes,
+        it follows the edges of its two nearest centroids not followed yet. Vectors are handled together, by pivot or by hop.
         """
         n = len(self.centroids)
         width = min(width, n)
-        ids, sims = np.zeros((len(q), width), np.int64), np.zeros((len(q), width), np.float32)
-        at = (q @ self.pivots.T).argmax(axis=1)
-        for p in np.unique(at):
-            rows = np.flatnonzero(at == p)
-            s = q[rows] @ self.centroids[self.links[p]].T
-            best = _top(s, width)
-            ids[rows[:, None], np.arange(best.shape[1])] = self.links[p][best]
-            sims[rows[:, None], np.arange(best.shape[1])] = np.take_along_axis(s, best, 1)
-        if n > self.links.shape[1] and self.near.shape[1]:
+        ids, sims = np.full((len(q), width), -1, np.int64), np.full((len(q), width), -2, np.float32)
+        for at in _top(q @ self.pivots.T, 2).T:
+            for p in np.unique(at):
+                rows = np.flatnonzero(at == p)
+                s = q[rows] @ self.centroids[self.links[p]].T
+                best = _top(s, width)
+                ids[rows], sims[rows], _ = _merged(ids[rows], sims[rows], self.links[p][best], np.take_along_axis(s, best, 1), width)
+        if n > self.links.shape[1]:
             active, done = np.arange(len(q)), np.zeros(ids.shape, bool)
             for _ in range(hops):
                 order = np.argsort(done[active] * 4.0 - sims[active], axis=1)[:, :2]
-                nodes = np.take_along_axis(ids[active], order, 1)
+                new = self.near[np.take_along_axis(ids[active], order, 1)].reshape(len(active), -1)
                 mark = done[active]
                 np.put_along_axis(mark, order, True, 1)
-                new = self.near[nodes].reshape(len(active), -1)
-                s = np.einsum("nd,nkd->nk", q[active], self.centroids[new], optimize=False)
-                every, value = np.concatenate([ids[active], new], 1), np.concatenate([sims[active], s], 1)
-                flags = np.concatenate([mark, np.zeros(new.shape, bool)], 1)
-                o = np.argsort(every * 2 + ~flags, axis=1, kind="stable")  # a followed copy goes first
-                every, value, flags = (np.take_along_axis(z, o, 1) for z in (every, value, flags))
-                value[:, 1:][every[:, 1:] == every[:, :-1]] = -2
-                keep = _top(value, width)
-                old = ids[active][:, :most]
-                ids[active], sims[active], done[active] = (np.take_along_axis(z, keep, 1) for z in (every, value, flags))
-                active = active[(ids[active][:, :most] != old).any(axis=1)]
+                s = np.matmul(self.centroids[new], q[active][:, :, None])[:, :, 0]
+                old = ids[active][:, :5]
+                ids[active], sims[active], done[active] = _merged(ids[active], sims[active], new, s, width, mark)
+                active = active[(ids[active][:, :5] != old).any(axis=1)]
                 if not len(active):
                     break
         return ids[:, :most], sims[:, :most]
 
     def place(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, list, stored): the lists each vector probes and whether it is stored there, by distance ratios."""
+        """(row, list, stored): the lists each vector probes and whether it is stored there, by distance ratios.
+
+        Vectors far from every centroid have many lists at about the same distance, so more of them may take part.
+        """
         ids, sims = self.search(q)
         d = np.sqrt(np.maximum(0, 2 - 2 * sims.astype(np.float64)))
         ratio = d / np.maximum(d[:, :1], 1e-6)
-        first = np.arange(ids.shape[1]) == 0
-        stored = ((ratio <= STORE_RATIO) & (np.arange(ids.shape[1]) < STORE_MOST)) | first
-        row, col = np.nonzero((ratio <= PROBE_RATIO) | first)
+        rank, far = np.arange(ids.shape[1])[None, :], sims[:, :1] < FAR
+        stored = (ratio <= STORE_RATIO) & (rank < np.where(far, FAR_STORE_MOST, STORE_MOST)) | (rank == 0)
+        probed = (ratio <= PROBE_RATIO) & (rank < np.where(far, FAR_PROBE_MOST, PROBE_MOST)) | stored
+        row, col = np.nonzero(probed & (ids >= 0))
         return row, ids[row, col], stored[row, col]
 
 
+def _merged(ids: np.ndarray, sims: np.ndarray, new: np.ndarray, s: np.ndarray, width: int, mark: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``width`` distinct ids of both lists, row by row; ``mark`` stays with the ids of the first."""
+    mark = np.zeros(ids.shape, bool) if mark is None else mark
+    every, value = np.concatenate([ids, new], 1), np.concatenate([sims, s], 1)
+    flags = np.concatenate([mark, np.zeros(new.shape, bool)], 1)
+    o = np.argsort(every * 2 + ~flags, axis=1, kind="stable")  # of two copies the marked goes first
+    every, value, flags = (np.take_along_axis(z, o, 1) for z in (every, value, flags))
+    value[:, 1:][every[:, 1:] == every[:, :-1]] = -2
+    keep = _top(value, width)
+    every, value, flags = (np.take_along_axis(z, keep, 1) for z in (every, value, flags))
+    return np.where(value > -1.5, every, -1), value, flags
+
+
 def _top(s: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of each row, largest first."""
     k = min(k, s.shape[1])
