@@ -1 +1 @@
-
+"""DataFrame operators: indexes, retrieval, fusion, feeds, comparisons."""

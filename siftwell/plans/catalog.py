@@ -1,8 +1,8 @@
 """All registered queries of the core."""
 
-from siftwell.plans import feeds
+from siftwell.plans import feeds, retrieval, texts, upkeep
 
-_MODULES = [feeds]
+_MODULES = [texts, retrieval, upkeep, feeds]
 
 
 def queries() -> dict:

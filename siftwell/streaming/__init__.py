@@ -1 +1 @@
-
+"""Structured Streaming: ingestion from a job log."""
