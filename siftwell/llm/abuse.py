@@ -51,9 +51,10 @@ _SENTENCE_END = re.compile(r"[\n\r]+|(?<=[.!?…。！？;])[\"')\]”»]*\s+|(?
 _HIDDEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W_](?: [^\W_*]){2,}(?![^\W\d_])")
 _INNER = re.compile(r"(?<=[^\W_])[-_.·~'’](?=[^\W_])")
+_INNER_MARK = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
 _STRETCHED = re.compile(r"(\w)\1+")
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[\w*@$]+")
-_MIXED = re.compile(r"(?=[\w@$!*]*[^\W\d_])(?=[\w@$!*]*[013457@$])[\w@$!*]+")
+_SIGNED_WORD, _LEET_SIGN, _LETTER, _DIGIT = re.compile(r"[\w@$!*]+"), re.compile("[013457@$]"), re.compile(r"[^\W\d_]"), re.compile(r"\d")
 _CYRILLIC = re.compile("[\u0370-\u052f]")
 _OTHER_CYRILLIC = re.compile("[бгджзийлпфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯґєї]")
 _LATIN = re.compile("[A-Za-z]")
@@ -70,11 +71,12 @@ def fold(segment: str) -> list[str]:
     s = segment.lower()
     if " " in s and _SPACED.search(s):
         s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s)
-    s = _INNER.sub("", s)
-    mixed = _MIXED.findall(s)
-    if len(mixed) > 1 or any(x[-1] not in "!" for x in mixed):
-        every = len([x for x in mixed if any(ch.isdigit() for ch in x)]) > 1
-        s = re.sub(r"[\w@$!*]+", lambda m: _leet(m.group(), every), s)
+    s = _INNER.sub("", _INNER_MARK.sub("i", s))
+    if _LEET_SIGN.search(s):
+        mixed = [w.rstrip("!") for w in _SIGNED_WORD.findall(s) if _LEET_SIGN.search(w) and _LETTER.search(w)]
+        if mixed:
+            every = sum(_DIGIT.search(w) is not None for w in mixed) > 1
+            s = _SIGNED_WORD.sub(lambda m: _leet(m.group(), every), s)
     return [_NUMBER.sub("0", _STRETCHED.sub(r"\1", w)) for w in _WORD.findall(s) if w.strip("*")]
 
 
