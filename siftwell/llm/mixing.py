@@ -25,6 +25,8 @@ from siftwell.session import materialize
 
 _BUCKETS = 256
 LEAST_WEIGHT = 0.05
+#: A plan of up to so many sources is broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def canonical_source(c: Column) -> Column:
@@ -80,7 +82,8 @@ def draw(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataF
     """
     docs = materialize(documents, "sized")
     p = materialize(plan(docs, targets), "plan")
-    known = docs.join(F.broadcast(p.select(F.col("source").alias("_t"), "epochs", "rest", "max_repeats")), F.col("source") == F.col("_t")).drop("_t")
+    budgets = p.select(F.col("source").alias("_t"), "epochs", "rest", "max_repeats")
+    known = docs.join(F.broadcast(budgets) if p.count() <= BROADCAST_SOURCES else budgets, F.col("source") == F.col("_t")).drop("_t")
     keyed = known.withColumn("key", sampling_key(F.col("id"), F.col("weight"), seed))
     bucket = F.floor(_BUCKETS * (1 - F.exp(-F.col("key") / 2)))
     summed = positions(keyed, ["source"], bucket, [F.asc("key"), F.asc("id"), F.asc("size")], weight="size", running="until")

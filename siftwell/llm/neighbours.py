@@ -39,7 +39,7 @@ MAX_SAMPLE = 131_072
 MAX_STORED = 16_384
 #: Distance ratios and numbers of lists: stored in, probed; and both for vectors with no centroid more similar than FAR.
 STORE_RATIO, STORE_MOST, PROBE_RATIO, PROBE_MOST = 1.2, 3, 1.25, 5
-FAR, FAR_STORE_MOST, FAR_PROBE_MOST = 0.42, 8, 14
+FAR, FAR_STORE_MOST, FAR_PROBE_MOST = 0.42, 12, 20
 BROADCAST_IDS = 100_000
 
 
@@ -136,7 +136,7 @@ class Index:
         expected = np.bincount(lists[stored], minlength=n) * (rows / max(1, len(x)))
         self.parts = np.maximum(1, np.ceil(expected / MAX_STORED)).astype(np.int64)
 
-    def search(self, q: np.ndarray, most: int = FAR_PROBE_MOST, width: int = 20, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, most: int = FAR_PROBE_MOST, width: int = 24, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of about the ``most`` nearest centroids of each vector, nearest first.
 
         From the two pivots nearest to it each vector takes the linked centroids; then, while its best list still changes,
