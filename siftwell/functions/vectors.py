@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -143,6 +144,28 @@ class SuppliedEmbedder:
         return np.array([self.vectors[t] for t in texts], np.float32)
 
 
+class HttpEmbedder:
+    """Vectors from a local embedding service, through a transport that is given (a callable: JSON body to JSON answer).
+
+    No network is used here by itself. Answers may come in any order, each with the number of its text; what is missing, repeated or of
+    another dimension is refused.
+    """
+
+    def __init__(self, transport: Callable[[str], str], dimension: int, identity: str, batch: int = 32):
+        self.transport, self.dimension, self.identity, self.batch = transport, dimension, identity, batch
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimension), np.float32)
+        for i in range(0, len(texts), self.batch):
+            part = texts[i : i + self.batch]
+            data = json.loads(self.transport(json.dumps({"input": part})))["data"]
+            if sorted(d["index"] for d in data) != list(range(len(part))) or any(len(d["embedding"]) != self.dimension for d in data):
+                raise ValueError("the embedding service did not answer every text once, in the right dimension")
+            for d in data:
+                out[i + d["index"]] = d["embedding"]
+        return out
+
+
 def embedded(df: DataFrame, text: str, embedder: Embedder, output: str = "embedding", batch: int = 256) -> DataFrame:
     """Adds the vector of a text; checks number, dimension and finiteness of what the embedder returns."""
     schema = StructType([*df.schema.fields, StructField(output, ArrayType(FloatType()))])

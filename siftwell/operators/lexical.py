@@ -17,6 +17,8 @@ from siftwell.session import materialize
 K1, B = 1.2, 0.75
 #: A frequency table of up to so many terms is broadcast; a larger one is joined by shuffle.
 BROADCAST_TERMS = 200_000
+#: So many query terms are broadcast to the postings (some 50 bytes each); more are joined by shuffle, hot terms split by AQE.
+BROADCAST_QUERY_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -91,7 +93,9 @@ def scores(index: LexicalIndex, terms: DataFrame, allowed: Column | None = None)
     Scores are rounded to 9 places, so equal ones are equal in whatever order they were summed. ``allowed`` restricts the chunks by their metadata before any ranking; document frequencies stay those of the whole index.
     """
     df = F.broadcast(index.terms) if index.small_terms else index.terms
-    q = terms.join(df, "term").select("query_id", "term", (F.col("qtf") * index.idf()).alias("qweight"))
+    q = materialize(terms.join(df, "term").select("query_id", "term", (F.col("qtf") * index.idf()).alias("qweight")), "query-terms")
+    if q.count() <= BROADCAST_QUERY_TERMS:  # the postings then stay where they are
+        q = F.broadcast(q)
     p = index.postings
     if allowed is not None:
         p = p.join(index.chunks.filter(allowed).select("chunk_key"), "chunk_key", "left_semi")
@@ -115,3 +119,10 @@ def coverage(index: LexicalIndex, terms: DataFrame, candidates: DataFrame) -> Da
     wanted = candidates.select("query_id", "chunk_key").join(terms.select("query_id", "term"), "query_id")
     hits = wanted.join(index.postings.select("term", "chunk_key"), ["term", "chunk_key"]).groupBy("query_id", "chunk_key").agg(F.count("*").alias("_hits"))
     return candidates.select("query_id", "chunk_key").join(hits, ["query_id", "chunk_key"], "left").join(sizes, "query_id").select("query_id", "chunk_key", (F.coalesce("_hits", F.lit(0)) / F.col("_terms")).alias("coverage"))
+
+
+def score_chunks(index: LexicalIndex, terms: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query_id, chunk_key, score) of given (query_id, chunk_key) pairs; 0 without a common term."""
+    got = index.postings.join(keys, "chunk_key").join(terms, ["query_id", "term"]).join(index.terms, "term")
+    sums = got.groupBy("query_id", "chunk_key").agg(F.round(F.sum(F.col("qtf") * index.idf() * F.col("weight")), 9).alias("_s"))
+    return keys.join(sums, ["query_id", "chunk_key"], "left").select("query_id", "chunk_key", F.coalesce("_s", F.lit(0.0)).alias("score"))

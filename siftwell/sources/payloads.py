@@ -43,7 +43,7 @@ def search_request(body: str) -> dict:
 def results_json(results: DataFrame) -> DataFrame:
     """(query_id, body): the results of each query as one JSON array in rank order."""
     columns = [c for c in results.columns if c != "query_id"]
-    rows = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in columns if c != "rank"]))).alias("results"))
+    rows = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in columns if c != "rank"])), lambda a, b: (a["rank"] - b["rank"]).cast("int")).alias("results"))
     return rows.select("query_id", F.to_json(F.struct("results")).alias("body"))
 
 
