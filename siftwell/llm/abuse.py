@@ -36,6 +36,8 @@ from siftwell.llm.abuse_seeds import HARMFUL, HARMLESS
 
 BITS = 20
 WORDS_PER_SEGMENT = 32
+#: Longer words (encoded data, addresses) count as one word of their own kind.
+LONGEST_WORD = 30
 MAX_LABELLED = 20_000
 MAX_TRAIN_BYTES = 65_536
 #: A yes is doubted if no segment scores above the first, a no if one scores above the second, out of fold.
@@ -77,7 +79,8 @@ def fold(segment: str) -> list[str]:
         if mixed:
             every = sum(_DIGIT.search(w) is not None for w in mixed) > 1
             s = _SIGNED_WORD.sub(lambda m: _leet(m.group(), every), s)
-    return [_NUMBER.sub("0", _STRETCHED.sub(r"\1", w)) for w in _WORD.findall(s) if w.strip("*")]
+    words = [_NUMBER.sub("0", _STRETCHED.sub(r"\1", w)) for w in _WORD.findall(s) if w.strip("*")]
+    return [w if len(w) <= LONGEST_WORD else "~" for w in words]
 
 
 def _leet(word: str, every: bool) -> str:
@@ -274,11 +277,11 @@ def fit(texts: list[str], targets: list[float], rounds: int = 3, epochs: int = 3
 
 
 def _threshold(best: np.ndarray, target: np.ndarray) -> float:
-    """The score from which a document counts as abusive: the best F1 of the out-of-fold scores, between 0.25 and 0.5."""
-    grid = np.arange(0.25, 0.5001, 0.01)
+    """The score from which a document counts as abusive: the greatest between 0.3 and 0.5 whose F1 out of fold is within 0.01 of the best."""
+    grid = np.arange(0.3, 0.5001, 0.01)
     yes = target > 0.5
     f1 = [2 * (yes & (best >= t)).sum() / max(1, yes.sum() + (best >= t).sum()) for t in grid]
-    return float(grid[int(np.argmax(f1))])
+    return float(grid[np.flatnonzero(np.array(f1) >= max(f1) - 0.01)[-1]])
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list[str], list[float]]:
