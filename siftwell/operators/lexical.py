@@ -94,9 +94,12 @@ def scores(index: LexicalIndex, terms: DataFrame, allowed: Column | None = None)
     """
     df = F.broadcast(index.terms) if index.small_terms else index.terms
     q = materialize(terms.join(df, "term").select("query_id", "term", (F.col("qtf") * index.idf()).alias("qweight")), "query-terms")
-    if q.count() <= BROADCAST_QUERY_TERMS:  # the postings then stay where they are
-        q = F.broadcast(q)
     p = index.postings
+    if q.count() <= BROADCAST_QUERY_TERMS:
+        # a chunk's postings meet in one task, so its scores are complete there and only the best of a task are shuffled
+        q = F.broadcast(q)
+        spark = p.sparkSession
+        p = p.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "chunk_key")
     if allowed is not None:
         p = p.join(index.chunks.filter(allowed).select("chunk_key"), "chunk_key", "left_semi")
     return p.join(q, "term").groupBy("query_id", "chunk_key").agg(F.round(F.sum(F.col("qweight") * F.col("weight")), 9).alias("score"))

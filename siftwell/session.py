@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,26 +33,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
+    """This application's folder in the one that all executors share, ``spark.checkpoint.dir``; removed when the driver ends.
 
     Only where that is unset (one machine, as in tests) a local folder is made and set.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = sc.applicationId
-        if app not in _SCRATCH:
-            _SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-            sc.setCheckpointDir(_SCRATCH[app])
-            atexit.register(_remove_local, _SCRATCH[app])
-        base = _SCRATCH[app]
-    return base.rstrip("/")
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    app = sc.applicationId
+    if app not in _SCRATCH:
+        base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            base = "file://" + tempfile.mkdtemp(prefix="siftwell-")
+            sc.setCheckpointDir(base)
+        _SCRATCH[app] = f"{base.rstrip('/')}/siftwell-{app}"
+        atexit.register(_clean_up, spark, _SCRATCH[app])
+    return _SCRATCH[app]
+
+
+def _clean_up(spark: SparkSession, path: str) -> None:
+    """A folder without a scheme is one of the default file system; the session may be gone by now."""
+    try:
+        remove_path(spark, path)
+    except Exception:  # noqa: BLE001 - the interpreter is ending
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
