@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.errors import EngineError
 from siftwell.functions.hashing import stable_chunk_key
 from siftwell.functions.text import indexed_text
 
@@ -38,6 +39,11 @@ class ChunkOptions:
     tokenizer_identity: str = "bytes"
     measure: Callable[[str], int] | None = field(default=None, compare=False)
 
+    def __post_init__(self):
+        sizes = (self.max_lines, self.max_chars, self.overlap_lines, self.target_tokens, self.max_tokens, self.overlap_tokens, self.reserved_tokens)
+        if min(sizes) < 0:
+            raise EngineError("invalid_argument", "chunk sizes must not be negative")
+
     @property
     def limit(self) -> int:
         return max(1, self.max_chars) if not self.max_tokens else max(1, self.max_tokens - self.reserved_tokens)

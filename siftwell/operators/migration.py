@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.errors import EngineError
-from siftwell.functions.hashing import fnv1a_hex, hashed_field
 from siftwell.sources.store import Store
 
 
@@ -25,17 +24,6 @@ def audit(documents: DataFrame, keys: list[str], fields: list[str], vectors: str
     return rows.groupBy(*by).agg(F.count("*").alias("documents"), F.hex(F.bit_xor("d")).alias("document_checksum"), F.hex(F.bit_xor("v")).alias("vector_checksum"))
 
 
-def ordered_audit(documents: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(documents, document_checksum): the checksum over the rows in key order, as audits record it.
-
-    Each row is reduced to a short line first; the lines of one shard are sorted and hashed together, so a shard, not a corpus, must fit a task.
-    """
-    line = F.concat(*[hashed_field(F.col(c).cast("string")) for c in [key, *fields]])
-    rows = documents.select(F.col(key).alias("_k"), line.alias("_line")).distinct()
-    joined = rows.agg(F.count("*").alias("documents"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_line"))), lambda r: r["_line"]), "").alias("_all"))
-    return joined.select("documents", F.concat(F.lit("fnv1a64:"), fnv1a_hex("_all")).alias("document_checksum"))
-
-
 def keyset_batch(documents: DataFrame, key: str, after: str | None, limit: int) -> DataFrame:
     """The next ``limit`` documents by key after ``after`` (from the start if null). The filter reaches the scan; the limit is a distributed top-k."""
     rows = documents if after is None else documents.filter(F.col(key) > after)

@@ -31,6 +31,10 @@ class Profile:
     lexical_weight: float = 1.0
     dense_weight: float = 1.0
 
+    def __post_init__(self):
+        if self.factor < 1 or self.least < 1 or not 0 <= self.lam <= 1:
+            raise EngineError("invalid_argument", f"profile {self.name}")
+
     def pool(self, top_k: int) -> int:
         return max(self.factor * top_k, self.least)
 
@@ -51,8 +55,9 @@ class Corpus:
     vectors: DataFrame | None = None  # key, vector
     dimension: int = 0
 
-    def allowed(self, wanted: MetadataFilter | None) -> Column | None:
-        return None if wanted is None else wanted.column(F.col("metadata"))
+    def allowed(self, wanted: MetadataFilter | Column | None) -> Column | None:
+        """A filter as a condition on ``chunks``; any boolean Column over them is a filter too."""
+        return wanted.column(F.col("metadata")) if isinstance(wanted, MetadataFilter) else wanted
 
 
 @dataclass
@@ -65,7 +70,7 @@ class Trace:
         self.notes.append(note)
 
 
-def candidates(corpus: Corpus, queries: DataFrame, mode: str, k: int, wanted: MetadataFilter | None, profile: Profile) -> DataFrame:
+def candidates(corpus: Corpus, queries: DataFrame, mode: str, k: int, wanted: MetadataFilter | Column | None, profile: Profile) -> DataFrame:
     """(query_id, chunk_key, score, rank) of one retriever or of both fused; filters apply before any truncation."""
     allowed = corpus.allowed(wanted)
     lists = []
@@ -103,7 +108,7 @@ def diversified(corpus: Corpus, found: DataFrame, k: int, profile: Profile) -> D
     return fusion.stitch(fusion.mmr(rows, k, profile.lam), profile.max_gap).select("query_id", "chunk_key", "score", "rank")
 
 
-def search(corpus: Corpus, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, profile: str | Profile = "balanced", wanted: MetadataFilter | None = None, pool: int | None = None, trace: Trace | None = None) -> DataFrame:
+def search(corpus: Corpus, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, profile: str | Profile = "balanced", wanted: MetadataFilter | Column | None = None, pool: int | None = None, trace: Trace | None = None) -> DataFrame:
     """(query_id, rank, score, chunk_key, document_id, document_revision, title, metadata, start_line, end_line, text, context).
 
     ``queries`` has (query_id, text) and, for dense modes, vector. Texts are fetched for the final rows only.

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from siftwell.errors import EngineError
+from siftwell.session import materialize
 
 #: The states of a job; the last four are final.
 STATUSES = ["queued", "chunking", "embedding", "publishing", "ready", "failed", "superseded", "cancelled"]
@@ -19,18 +25,19 @@ def latest_snapshots(log: DataFrame, position: str = "log_seq") -> DataFrame:
 
 def recovered(latest: DataFrame, document: list[str]) -> DataFrame:
     """What a restart does with each job: activate or erase the newest ready one of a document, requeue the unfinished newest, supersede other unfinished ones, keep the rest."""
-    final = F.col("status").isin(TERMINAL)
-    newest = Window.partitionBy(*document)
-    ready = Window.partitionBy(*document, F.col("status") == "ready").orderBy(F.desc("revision"), F.asc("job_id"))
-    rows = latest.withColumn("_newest", F.max("revision").over(newest)).withColumn("_r", F.row_number().over(ready))
+    final, ready = F.col("status").isin(TERMINAL), F.col("status") == "ready"
+    # one row per document by folds, so a document with very many jobs is no task of its own
+    chosen = latest.groupBy(*[F.col(d).alias(f"_k{i}") for i, d in enumerate(document)]).agg(F.max("revision").alias("_newest"), F.min(F.when(ready, F.struct(-F.col("revision"), "job_id"))).alias("_ready"))
+    on = reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"_k{i}")) for i, d in enumerate(document)])
+    rows = latest.join(chosen, on)
     operation = F.lower(F.trim("operation"))
     action = (
-        F.when((F.col("status") == "ready") & (F.col("_r") == 1), F.when(operation == "erase", "erase").otherwise("activate"))
+        F.when(ready & (F.col("job_id") == F.col("_ready.job_id")), F.when(operation == "erase", "erase").otherwise("activate"))
         .when(final, "keep")
         .when(F.col("revision") == F.col("_newest"), "requeue")
         .otherwise("supersede")
     )
-    return rows.withColumn("action", action).drop("_newest", "_r")
+    return rows.withColumn("action", action).drop("_newest", "_ready", *[f"_k{i}" for i in range(len(document))])
 
 
 def retained(latest: DataFrame, size: Column, max_jobs: int = 128, max_bytes: int = 16 << 20) -> DataFrame:
@@ -58,3 +65,37 @@ def retained(latest: DataFrame, size: Column, max_jobs: int = 128, max_bytes: in
     keep = spark.createDataFrame([(c,) for c in chosen], "_id string")
     kept = latest.filter(F.col("status").isin(TERMINAL)).join(F.broadcast(keep), F.col("job_id") == F.col("_id"), "left_semi")
     return latest.filter(~F.col("status").isin(TERMINAL)).unionByName(kept)
+
+
+class JobLog:
+    """The job log as a folder of appended Parquet files; a torn write leaves no committed file behind, so readers never see half a record."""
+
+    SCHEMA = "log_seq long, job_id string, corpus_id long, doc_key string, operation string, revision long, content_hash string, status string, created_at_ms long, updated_at_ms long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, snapshots: DataFrame) -> None:
+        """Snapshots with rising log_seq; states out of the vocabulary are refused before anything is written."""
+        bad = snapshots.filter(~F.col("status").isin(STATUSES) | F.col("job_id").isNull()).first()
+        if bad:
+            raise EngineError("invalid_argument", f"job {bad['job_id']} with status {bad['status']}")
+        columns = self.spark.createDataFrame([], self.SCHEMA).columns
+        snapshots.select(*columns).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def latest(self) -> DataFrame:
+        return latest_snapshots(self.read())
+
+    def compact(self, max_jobs: int = 128, max_bytes: int = 16 << 20) -> int:
+        """Replace the log by the last snapshots of the jobs that are kept; the number of them. They are complete in the shared folder before the old files go."""
+        size = F.octet_length(F.concat_ws("|", "job_id", "doc_key", "content_hash", "status")) + 64
+        latest = materialize(self.latest(), "latest")
+        kept = materialize(retained(latest, size, max_jobs, max_bytes), "retained")
+        kept.write.mode("overwrite").parquet(self.path)
+        return kept.count()

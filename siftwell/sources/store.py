@@ -43,6 +43,10 @@ class MaintenancePolicy:
     memory_bytes: int = 1 << 30
     exact_below: int = 2000
 
+    def __post_init__(self):
+        if min(self.delta_rows, self.delta_share, self.tombstone_share, self.memory_bytes, self.exact_below) < 0:
+            raise EngineError("invalid_argument", "policy values must not be negative")
+
     def required(self, base: int, delta: int, tombstones: int, dimension: int) -> bool:
         return (
             delta >= self.delta_rows
@@ -207,6 +211,14 @@ class Store:
         other._publish({"generation": m["generation"] - 1, "tables": {}}, {n: self.table(n, m["generation"]) for n in SCHEMAS}, m["tombstones"])
         return m["generation"]
 
+    def restore(self, path: str) -> int:
+        """Take over the latest generation of a checkpoint as this store's next one; its number."""
+        other, base = Store(self.spark, path), self.manifest()
+        m = other.manifest()
+        if not m["tables"]:
+            raise EngineError("not_found", f"no checkpoint under {path}")
+        return self._publish(base, {n: other.table(n, m["generation"]) for n in SCHEMAS}, m["tombstones"])
+
     # --- reading ---
 
     def fetch(self, keys: DataFrame, text: bool = True, embedding: bool = False) -> DataFrame:

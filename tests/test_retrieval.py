@@ -154,3 +154,22 @@ def test_payloads(spark, tmp_path):
     assert docs.count() == 1 and queries.first()["relevant"] == ["a"]
     r = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "query_id int, rank int, chunk_id string")
     assert payloads.results_json(r).first()["body"] == '{"results":[{"rank":1,"chunk_id":"a"},{"rank":2,"chunk_id":"b"}]}'
+
+
+@pytest.mark.parametrize("wanted", ["exact", "ivf", "ivf_sq8", "ivf_pq", "auto"])
+def test_built_indexes(spark, wanted):
+    v = payloads.synthetic_vectors(spark, 400, 16).cache()
+    q = v.filter("key < 10").select(F.col("key").alias("query_id"), "vector")
+    index = dense.build_index(v, 16, wanted, **({} if wanted in ("exact", "auto") else {"lists_": 8, "probes": 8}))
+    assert index.stats().first()["vectors"] == 400
+    exact = dense.batch_search(v, q, 5, 16)
+    assert evaluation.overlap(index.search(q, 5), exact, 5).first()["recall"] == 1.0
+    few = index.search(q, 5, v.filter("key IN (3, 7)").select("key"))
+    assert few.groupBy("query_id").count().filter("count <> 2").count() == 0
+
+
+def test_any_column_filters(spark, corpus):
+    got = search.search(corpus, asked(spark, "alpha"), "lexical", 5, wanted=F.col("metadata")["tenant"] != "north")
+    assert [r["chunk_key"] for r in got.collect()] == ["c3"]
+    with pytest.raises(EngineError):
+        search.PROFILES["balanced"].overridden(lam=2.0)

@@ -104,7 +104,6 @@ def test_audits(spark):
     x = migration.audit(df, ["k"], ["v"]).first()
     assert x["documents"] == 2 and x == migration.audit(df.orderBy(F.desc("k")), ["k"], ["v"]).first()
     assert x != migration.audit(df.fillna({"v": 0}), ["k"], ["v"]).first()
-    assert migration.ordered_audit(df, "k", ["v"]).first()["documents"] == 2
     s = spark.createDataFrame([(1, "a", 0.5)], "query_id int, key string, score double")
     assert migration.sampled_search_equality(s, s.withColumn("score", F.col("score") + 1e-6)).count() == 0
     assert migration.sampled_search_equality(s, s.withColumn("score", F.col("score") + 1e-3)).count() == 1
@@ -157,3 +156,33 @@ def test_jobs(spark):
     size = F.when(F.col("job_id") == "f", 100).otherwise(10)
     keep = lambda n, b: {r["job_id"] for r in jobs.retained(latest, size, n, b).collect()}
     assert keep(128, 1000) == {"a", "b", "c", "e", "f"} and keep(1, 1000) == {"b", "c", "f"} and keep(2, 50) == {"a", "b", "c", "e"} and keep(5, 15) == {"b", "c", "e"}
+
+
+def test_restore(spark, tmp_path):
+    a = Store(spark, f"file://{tmp_path}/a")
+    a.activate(*prepared(spark, NORTH, SOUTH))
+    a.checkpoint(f"file://{tmp_path}/saved")
+    a.erase(spark.createDataFrame([("docs/south", 2)], "doc_key string, revision long"))
+    before = a.generation
+    assert a.restore(f"file://{tmp_path}/saved") == before + 1 and a.table("documents").count() == 2
+    with pytest.raises(EngineError, match="not_found"):
+        a.restore(f"file://{tmp_path}/nothing")
+
+
+def test_job_log(spark, tmp_path):
+    log = jobs.JobLog(spark, f"file://{tmp_path}/log")
+    row = lambda seq, job, status, at: (seq, job, 1, "d", "upsert", 1, "h", status, 1, at)
+    frame = lambda *r: spark.createDataFrame(list(r), jobs.JobLog.SCHEMA)
+    assert log.latest().count() == 0
+    log.append(frame(row(1, "a", "queued", 1), row(2, "a", "ready", 2), row(3, "b", "ready", 3)))
+    log.append(frame(row(4, "c", "embedding", 4)))
+    with pytest.raises(EngineError):
+        log.append(frame(row(5, "d", "lost", 5)))
+    assert rows(log.latest().select("job_id", "status")) == [("a", "ready"), ("b", "ready"), ("c", "embedding")]
+    assert log.compact(max_jobs=1) == 2 and rows(log.latest().select("job_id")) == [("b",), ("c",)]
+
+
+def test_options_are_checked():
+    for bad in (lambda: ChunkOptions(max_chars=-1), lambda: MaintenancePolicy(delta_rows=-1)):
+        with pytest.raises(EngineError):
+            bad()
