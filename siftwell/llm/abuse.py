@@ -38,7 +38,7 @@ BITS = 20
 WORDS_PER_SEGMENT = 32
 #: Longer words (encoded data, addresses) count as one word of their own kind.
 LONGEST_WORD = 30
-MAX_LABELLED = 20_000
+MAX_LABELLED = 12_000
 MAX_TRAIN_BYTES = 65_536
 #: Under so many labelled documents the fit is repeated (up to 8 times) and averaged.
 REPEATED_DOCUMENTS = 4_000

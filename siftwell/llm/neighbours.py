@@ -132,8 +132,11 @@ class Index:
         self.links = _top(self.pivots @ self.centroids.T, min(n, 64))
         near = min(n, 17)
         self.near = np.concatenate([_top(self.centroids[i : i + 1024] @ self.centroids.T, near) for i in range(0, n, 1024)])[:, 1:] if n > 1 else np.zeros((1, 0), np.int64)
-        _, lists, stored = self.place(x) if len(x) else (None, np.zeros(0, int), np.zeros(0, bool))
-        expected = np.bincount(lists[stored], minlength=n) * (rows / max(1, len(x)))
+        placed = np.zeros(n)
+        for i in range(0, len(x), 8192):
+            _, lists, stored = self.place(x[i : i + 8192])
+            placed += np.bincount(lists[stored], minlength=n)
+        expected = placed * (rows / max(1, len(x)))
         self.parts = np.maximum(1, np.ceil(expected / MAX_STORED)).astype(np.int64)
 
     def search(self, q: np.ndarray, most: int = FAR_PROBE_MOST, width: int = 24, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
