@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -27,8 +30,25 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, so they need no path to it of their own."""
+    sc = spark.sparkContext
+    root = Path(__file__).parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    _SHIPPED.add(sc.applicationId)
+    folder = tempfile.mkdtemp(prefix="siftwell-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/siftwell.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"siftwell/{f.relative_to(root)}")
+    sc.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; a file or a folder of files."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that is unset (one machine, as in tests) a local folder is made and set.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     app = sc.applicationId
     if app not in _SCRATCH:
