@@ -277,7 +277,7 @@ def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return _results(search.search(c, queries_of(c), "hybrid", K, profile="quality", pool=60))
+    return _results(search.search(c, queries_of(c), "hybrid", K, profile="quality"))
 
 
 def lexical_search_service(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,13 +303,14 @@ def stitch_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The presets over the same lexical candidates."""
+    """The presets over lexical candidates, as many as their profiles ask for: efficiency for the plain ones, quality for the diversified."""
     c = corpus(spark, sf_dir, dense_too=False)
     q = queries_of(c)
-    found = materialize(search.candidates(c, q, "lexical", 30, None, search.PROFILES["efficiency"]), "candidates")
+    found = {p: materialize(search.candidates(c, q, "lexical", search.PROFILES[p].pool(K), None, search.PROFILES[p]), "candidates") for p in ("efficiency", "quality")}
     rows = None
     for name in ("standard", "context", "quality", "quality_context"):
-        one = search.Pipeline.preset(name, c, q, K).run(found).select(F.lit(name).alias("preset"), "query_id", F.col("chunk_key").alias("chunk_id"), "rank")
+        p = "quality" if name.startswith("quality") else "efficiency"
+        one = search.Pipeline.preset(name, c, q, K, search.PROFILES[p]).run(found[p]).select(F.lit(name).alias("preset"), "query_id", F.col("chunk_key").alias("chunk_id"), "rank")
         rows = one if rows is None else rows.unionByName(one)
     return rows
 

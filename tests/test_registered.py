@@ -1,5 +1,6 @@
 import pytest
 
+from siftwell.operators import search
 from siftwell.plans import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -22,6 +23,14 @@ def test_ann_gates(spark):
         assert r["recall"] >= r["gate"]
 
 
+@pytest.mark.parametrize(("name", "pools"), [("quality_search", [200]), ("pipeline_presets", [30, 200])])
+def test_pools_of_the_profiles(spark, monkeypatch, name, pools):
+    asked, own = [], search.candidates
+    monkeypatch.setattr(search, "candidates", lambda c, q, mode, k, *rest: (asked.append(k), own(c, q, mode, k, *rest))[1])
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == pools
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
