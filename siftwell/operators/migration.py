@@ -30,14 +30,24 @@ def keyset_batch(documents: DataFrame, key: str, after: str | None, limit: int)
     return rows.orderBy(key).limit(limit)
 
 
-def reconcile(source: DataFrame, destination: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, problem): extra (only in the destination), conflicting (fields differ), gap (missing below the destination's last key). None may be there when a copy resumes."""
-    s = source.select(F.col(key).alias("_s"), F.struct(*fields).alias("a"))
-    d = destination.select(F.col(key).alias("_d"), F.struct(*fields).alias("b"))
-    last = destination.agg(F.max(key).alias("_last"))
-    j = s.join(d, F.col("_s") == F.col("_d"), "full_outer").crossJoin(F.broadcast(last))
+def reconcile(source: DataFrame, destination: DataFrame, key: str, fields: list[str], by: list[str] = ()) -> DataFrame:
+    """(by, key, problem): extra (only in the destination), conflicting (fields differ), gap (missing below the destination's last key, of the same ``by``). None may be there when a copy resumes."""
+    s = source.select(*by, F.col(key).alias("_s"), F.struct(*fields).alias("a"))
+    d = destination.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(key).alias("_d"), F.struct(*fields).alias("b"))
+    same = F.col("_s") == F.col("_d")
+    for c in by:
+        same &= F.col(c) == F.col(f"_{c}")
+    j = s.join(d, same, "full_outer").select(*[F.coalesce(c, f"_{c}").alias(c) for c in by], "_s", "_d", "a", "b")
+    last = destination.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max(key).alias("_last"))
+    if by:
+        of = F.lit(True)
+        for c in by:
+            of &= F.col(c) == F.col(f"_{c}")
+        j = j.join(last, of, "left")
+    else:
+        j = j.crossJoin(F.broadcast(last))
     problem = F.when(F.col("_s").isNull(), "extra").when(F.col("_d").isNull() & (F.col("_s") <= F.col("_last")), "gap").when(F.col("_d").isNotNull() & ~F.col("a").eqNullSafe(F.col("b")), "conflicting")
-    return j.select(F.coalesce("_s", "_d").alias(key), problem.alias("problem")).filter("problem IS NOT NULL")
+    return j.select(*by, F.coalesce("_s", "_d").alias(key), problem.alias("problem")).filter("problem IS NOT NULL")
 
 
 class Endpoint(ABC):

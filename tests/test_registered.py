@@ -31,6 +31,11 @@ def test_pools_of_the_profiles(spark, monkeypatch, name, pools):
     assert asked == pools
 
 
+def test_reconcile_sees_every_corpus(spark):
+    got = {(r["corpus_id"], r["problem"]) for r in QUERIES["reconcile_corpora"](spark, "/root/testdata/sf0.01").collect()}
+    assert len({c for c, _ in got}) > 1 and {p for _, p in got} == {"extra", "gap", "conflicting"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
