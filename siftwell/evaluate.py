@@ -40,7 +40,7 @@ def run_qrels(spark: SparkSession, path: str, k: int = 3, dimension: int = 384)
 
 
 def run_dense(spark: SparkSession, rows: int = 25_000, dimension: int = 384, queries: int = 100, k: int = 10) -> dict:
-    """Access paths against the exact search on generated vectors, over all rows and over a filtered subset of 101; time per query of the batch."""
+    """Access paths (lists with a quarter of them probed, at most 64, with each codec; as built by default; exhaustive) against the exact search on generated vectors, over all rows and over a filtered subset of 101; time per query of the batch."""
     v = materialize(payloads.synthetic_vectors(spark, rows, dimension), "vectors")
     q = materialize(v.filter(F.col("key") < queries).select(F.col("key").alias("query_id"), "vector"), "queries")
     subset = v.filter(F.pmod("key", F.lit(max(1, rows // 101))) == 0)
@@ -48,9 +48,20 @@ def run_dense(spark: SparkSession, rows: int = 25_000, dimension: int = 384, que
     for name, vectors in (("all", v), ("filtered", subset)):
         exact, seconds = _timed(dense.batch_search(vectors, q, k, dimension))
         lists = dense.InvertedLists.fit(vectors, dimension, 256)
-        for path, found in {"exact": exact, "ivf": lists.search(q, k, 256), "ivf_sq8": lists.search(q, k, 64, "sq8"), "sq8": dense.coarse_then_exact(vectors, q, k, dimension, "sq8")}.items():
+        probes = max(1, min(64, len(lists.centroids) // 4))
+        paths = {
+            "exact": exact,
+            "ivf": lists.search(q, k, probes),
+            "ivf_sq8": lists.search(q, k, probes, "sq8"),
+            "ivf_pq": lists.search(q, k, probes, "pq", dense.sampled_quantizer(vectors, dimension)),
+            "ivf_default": dense.ListIndex(vectors, dimension).search(q, k),
+            "ivf_exhaustive": lists.search(q, k, 256),
+            "sq8": dense.coarse_then_exact(vectors, q, k, dimension, "sq8"),
+        }
+        for path, found in paths.items():
             o = evaluation.overlap(found, exact, k).first().asDict()
-            out[f"{name} {path}"] = o | ({"ms_per_query": round(seconds / queries * 1000, 4)} if path == "exact" else {})
+            gate = evaluation.GATES.get(path.removesuffix("_default"))
+            out[f"{name} {path}"] = o | ({"gate": gate} if gate else {}) | ({"ms_per_query": round(seconds / queries * 1000, 4)} if path == "exact" else {})
     return out
 
 

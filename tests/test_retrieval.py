@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell import evaluate
 from siftwell.errors import EngineError
 from siftwell.operators import dense, evaluation, fusion, lexical, search
+from siftwell.plans import retrieval
 from siftwell.sources import payloads
 from tests.conftest import rows
 
@@ -173,3 +175,34 @@ def test_any_column_filters(spark, corpus):
     assert [r["chunk_key"] for r in got.collect()] == ["c3"]
     with pytest.raises(EngineError):
         search.PROFILES["balanced"].overridden(lam=2.0)
+
+
+def test_lists_lose_little(spark):
+    r = np.random.default_rng(3)
+    m = r.normal(size=(80, 16))[r.integers(80, size=4020)] + r.normal(scale=0.25, size=(4020, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    every = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "key long, vector array<float>").cache()
+    v, q = every.filter("key >= 20"), every.filter("key < 20").select(F.col("key").alias("query_id"), "vector")
+    exact = dense.batch_search(v, q, 10, 16)
+    lists, pq = dense.InvertedLists.fit(v, 16, 16), dense.sampled_quantizer(v, 16)
+    for codec in ("flat", "sq8", "pq"):
+        o = evaluation.overlap(lists.search(q, 10, 4, codec, pq, 40), exact, 10).first()
+        assert o["recall"] >= evaluation.GATES[{"flat": "ivf"}.get(codec, f"ivf_{codec}")] and o["overlap"] >= 0.8
+    o = evaluation.overlap(dense.build_index(v, 16).search(q, 10), exact, 10).first()
+    assert o["recall"] >= evaluation.GATES["ivf"] and o["overlap"] >= 0.8
+
+
+def test_gates_measure_probed_lists(spark, monkeypatch):
+    used, own = [], dense.InvertedLists.search
+
+    def search_(self, q, k, probes=16, codec="flat", *rest):
+        used.append((len(self.centroids), probes, codec))
+        return own(self, q, k, probes, codec, *rest)
+
+    monkeypatch.setattr(dense.InvertedLists, "search", search_)
+    paths = {r["path"] for r in retrieval.ann_gates(spark, "/root/testdata/sf0.01").collect()}
+    assert paths == {*evaluation.GATES, "ivf_default"}
+    assert {(c, p) for n, p, c in used if p < n} == {("flat", 16), ("sq8", 16), ("pq", 16)} and (256, 16, "flat") in used
+    used.clear()
+    figures = evaluate.run_dense(spark, 2000, 32, 20)
+    assert {c for n, p, c in used if p < n} == {"flat", "sq8", "pq"} and figures["all ivf_pq"]["gate"] == evaluation.GATES["ivf_pq"]
