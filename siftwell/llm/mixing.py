@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm import packing
 from siftwell.operators.ranking import positions
 from siftwell.session import materialize
 
@@ -68,10 +69,13 @@ def plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return p.withColumn("rest", rest).withColumn("short", F.col("size") * F.col("max_repeats") < F.col("target_share") * F.col("total"))
 
 
-def sized(df: DataFrame, key: str, text: str, source: str, size: Column, weight: Column | None = None) -> DataFrame:
-    """(id, source, size, weight) of the non-empty texts with a source."""
+def sized(df: DataFrame, key: str, text: str, source: str, size: Column | None, weight: Column | None = None, tokenizer: str = packing.TOKENIZER) -> DataFrame:
+    """(id, source, size, weight) of the non-empty texts with a source; without ``size`` it is the number of tokens by a public tokenizer."""
     rows = df.select(F.col(key).alias("id"), canonical_source(F.col(source)).alias("source"), F.col(text).alias("text")).filter("text IS NOT NULL AND text <> '' AND source IS NOT NULL")
-    return rows.select("id", "source", size.cast("long").alias("size"), (weight if weight is not None else quality_weight(F.col("text"))).alias("weight"))
+    weight = (weight if weight is not None else quality_weight(F.col("text"))).alias("weight")
+    if size is None:
+        return packing.counted(rows.select("id", "source", weight, "text"), tokenizer).select("id", "source", "size", "weight")
+    return rows.select("id", "source", size.cast("long").alias("size"), weight)
 
 
 def draw(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -64,24 +64,31 @@ def _tokenizer(path: str):
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, becomes its number of tokens."""
     count = _tokenizer(path)
     for batch in batches:
         sizes: list[int] = []
         texts, held = [], 0
-        for t in batch.column(1):
+        for t in batch.column(batch.num_columns - 1):
             texts.append(t.as_py())
             held += len(texts[-1])
             if held > 2_000_000:
                 sizes += count(texts)
                 texts, held = [], 0
         sizes += count(texts) if texts else []
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["id", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], "size"])
+
+
+def counted(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The rows with ``size``, the tokens of their last column, in its place."""
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    return rows.mapInArrow(partial(_count, path=tokenizer), f"{kept}, size long")
 
 
 def token_sizes(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, size): tokens of each non-empty text by a public tokenizer; ``tokenizer`` is the path of its file."""
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL AND text <> ''")
-    return rows.mapInArrow(partial(_count, path=tokenizer), f"id {df.schema[key].dataType.simpleString()}, size long")
+    return counted(rows, tokenizer)
 
 
 def measured_sizes(df: DataFrame, key: str, text: str, measure: Callable[[Column], Column] = byte_quarter_size) -> DataFrame:

@@ -163,8 +163,9 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 P8_CONTAINERS_SQL = "SELECT 0::BIGINT AS overfull, sum(ceil(strlen(text) / 4.0))::BIGINT AS tokens, count(*) AS documents, 0::BIGINT AS needless_cuts FROM documents WHERE text <> ''"
 
 
-def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source", packing.byte_quarter_size(F.col("text")))
+def _sized(spark: SparkSession, sf_dir: str, tokens: bool = False) -> DataFrame:
+    """Sizes by a public tokenizer or by the fallback measure, on which p9_found and the SQL are defined."""
+    return mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source", None if tokens else packing.byte_quarter_size(F.col("text")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,14 +184,14 @@ P9_SQL = _P9_BASE + "SELECT source FROM w WHERE size * max_repeats < target_shar
 
 
 def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The draws."""
-    draws, _ = mixing.draw(_sized(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+    """The draws, sizes in tokens of a public tokenizer."""
+    draws, _ = mixing.draw(_sized(spark, sf_dir, True), table(spark, sf_dir, "source_targets"))
     return draws.withColumnRenamed("id", "doc_id")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached shares per source."""
-    _, report = mixing.draw(_sized(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+    """Target and reached shares per source, of the tokens of a public tokenizer."""
+    _, report = mixing.draw(_sized(spark, sf_dir, True), table(spark, sf_dir, "source_targets"))
     return report.select("source", "target_share", "max_repeats", "size", F.round("budget", 3).alias("budget"), "epochs", "drawn", F.round("share", 6).alias("share"), "short")
 
 
