@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.chunking import ChunkOptions
+from siftwell.functions.filters import matches_row
 from siftwell.functions.vectors import HashEmbedder, embedded
 from siftwell.operators import dense, evaluation, lexical, search
 from siftwell.session import local_session, materialize
@@ -18,9 +19,7 @@ from siftwell.sources.store import prepare
 
 
 def run_qrels(spark: SparkSession, path: str, k: int = 3, dimension: int = 384) -> dict:
-    """Mean recall, MRR and nDCG of each profile over a judgement file; filtered queries search under their filter."""
-    from siftwell.functions.filters import matches_row
-
+    """Mean recall, MRR and nDCG of each profile over a judgement file; the queries of each filter search under it, to k results, and are judged by the ranks they get."""
     docs, queries = payloads.qrels(spark, path)
     embedder = HashEmbedder(dimension)
     docs = docs.select("doc_key", F.lit(1).alias("revision"), F.lit("").alias("title"), F.col("text").alias("content"), "metadata")
@@ -29,11 +28,17 @@ def run_qrels(spark: SparkSession, path: str, k: int = 3, dimension: int = 384)
     vectors = materialize(dense.usable_vectors(rows, "chunk_key", "embedding", dimension), "vectors")
     corpus = search.Corpus(rows, lexical.build(rows, "chunk_key", "indexed_text", "metadata"), vectors, dimension)
     q = materialize(embedded(queries, "text", embedder, "vector"), "queries")
+    own = F.to_json("filter")
+    kinds = [r[0] for r in q.select(own).distinct().collect()]
     out = {}
     for name, profile in search.PROFILES.items():
-        found = search.search(corpus, q.select("query_id", "text", "vector"), "hybrid", 100, profile)
-        allowed = found.join(q.select("query_id", "filter"), "query_id").filter(matches_row(F.col("metadata"), F.col("filter")))
-        ranked = lexical.top(allowed.drop("rank"), k)
+        ranked = None
+        for kind in kinds:
+            wanted = None if kind is None else matches_row(F.col("metadata"), F.from_json(F.lit(kind), q.schema["filter"].dataType))
+            found = search.search(corpus, q.filter(own.eqNullSafe(F.lit(kind))).select("query_id", "text", "vector"), "hybrid", k, profile, wanted)
+            ranked = found if ranked is None else ranked.unionByName(found)
+        if ranked is None:
+            ranked = spark.createDataFrame([], "query_id int, document_id string, rank int")
         m = evaluation.qrels_metrics(ranked, q.select("query_id", "relevant"), k)
         out[name] = m.agg(*[F.avg(c).alias(c) for c in ("recall", "mrr", "ndcg")]).first().asDict()
     return out

@@ -113,3 +113,12 @@ def test_commands(spark, tmp_path, capsys):
     s.ingest(doc("a", "text"))
     migrate.main([f"file://{tmp_path}/a", f"file://{tmp_path}/b", "--report", str(tmp_path / "m.json")])
     assert json.loads((tmp_path / "m.json").read_text())["documents"] == 1
+
+
+def test_qrels_filter_before_the_search(spark, tmp_path):
+    many = [{"id": f"x{i}", "text": "storage generations", "metadata": {"s": "x"}} for i in range(130)]
+    few = [{"id": "y", "text": "storage of many other things that are said at some length", "metadata": {"s": "y"}}, {"id": "z", "text": "ranking", "metadata": {"s": "y"}}]
+    queries = [{"text": "storage generations", "relevant": ["y"], "filter": {"s": ["y"]}}, {"text": "ranking", "relevant": ["z"]}, {"text": "ranking", "relevant": ["z"], "filter": {}}]
+    (tmp_path / "q.json").write_text(json.dumps({"documents": many + few, "queries": queries}))
+    figures = evaluate.run_qrels(spark, str(tmp_path / "q.json"), 1, 64)
+    assert all(abs(f["recall"] - 2 / 3) < 1e-9 and abs(f["mrr"] - 2 / 3) < 1e-9 for f in figures.values())
