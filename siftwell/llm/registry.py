@@ -169,9 +169,9 @@ def _sized(spark: SparkSession, sf_dir: str, tokens: bool = False) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that fall short of their share even at the greatest permitted repetition, by the report of the draw."""
+    """Sources that fall short of their share even at the greatest permitted repetition: all permitted copies were drawn, and the budget is not reached."""
     _, report = mixing.draw(_sized(spark, sf_dir), table(spark, sf_dir, "source_targets"))
-    return report.filter("short").select("source")
+    return report.filter("drawn = size * max_repeats AND drawn < budget").select("source")
 
 
 _P9_BASE = """

@@ -26,3 +26,8 @@ def test_draws_and_shares_are_in_tokens(spark):
     by = {r["source"]: r["size"] for r in registry._sized(spark, small, True).groupBy("source").sum("size").withColumnRenamed("sum(size)", "size").collect()}
     shares = QUERIES["p9_shares"](spark, small).collect()
     assert all(r["size"] == by.get(r["source"], 0) for r in shares) and sum(r["size"] for r in shares) > 0
+
+
+def test_shortfalls_come_from_the_draw(spark):
+    plan = QUERIES["p9_found"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "Window" in plan
