@@ -230,6 +230,21 @@ def tiered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(dense.merged_candidates(a, b, k=K))
 
 
+def tiered_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector in a tier: ids divisible by 3 as delta, the others as base, which also has outdated vectors of the ids divisible by 6; those divisible by 7 deleted."""
+    v, q = _embeddings(spark, sf_dir)
+    base = v.filter("key % 3 <> 0").unionByName(v.filter("key % 6 = 0").withColumn("vector", F.reverse("vector")))
+    return _shown(dense.batch_search(dense.tiered(base, v.filter("key % 3 = 0"), v.filter("key % 7 = 0")), q, K, DIM))
+
+
+def tiered_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by searching base and delta apart and merging their candidates."""
+    v, q = _embeddings(spark, sf_dir)
+    kept = v.filter("key % 7 <> 0")
+    a, b = (dense.batch_search(t, q, K, DIM) for t in (kept.filter("key % 3 <> 0"), kept.filter("key % 3 = 0")))
+    return _shown(dense.merged_candidates(a, b, k=K))
+
+
 def ann_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and overlap at ten of the access paths against the exact search: 16 of at most 64 lists, with each codec, and the lists of ``build_index`` as they are by default."""
     v = materialize(dense.usable_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", DIM), "vectors")
@@ -370,12 +385,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexical_bm25_topk, lexical_bm25_filtered, porter_bm25, lexical_qtf_weighting, term_coverage, dense_exact_topk, dense_filtered_topk, dense_batch_topk, vector_norm_check, sq8_dot, sign_hamming,
-        matryoshka_topk, cosine_scores, ivf_topk, ivf_exhaustive, sq8_rescored_topk, signs_rescored_topk, prefix_rescored_topk, pq_topk, tiered_merge, tiered_candidates, ann_gates, rrf_fusion, feature_rerank,
+        matryoshka_topk, cosine_scores, ivf_topk, ivf_exhaustive, sq8_rescored_topk, signs_rescored_topk, prefix_rescored_topk, pq_topk, tiered_merge, tiered_candidates, tiered_merge_all, tiered_candidates_all, ann_gates, rrf_fusion, feature_rerank,
         hybrid_search, hybrid_filtered, quality_search, lexical_search_service, mmr_diversify, stitch_adjacent, pipeline_presets, context_packing, jaccard_pairs, filter_any_of, filter_empty_matches_none, filter_per_query,
     )
 }
 _EXACT = _DENSE.format(score="list_dot_product(a.v, q.v)", where="")
 _TIERED = _DENSE.format(score="list_dot_product(a.v, q.v)", where="WHERE (a.vec_id % 2 = 0 OR a.vec_id % 3 = 0) AND a.vec_id % 7 <> 0")
+_TIERED_ALL = _DENSE.format(score="list_dot_product(a.v, q.v)", where="WHERE a.vec_id % 7 <> 0")
 ORACLE = {
     "lexical_bm25_topk": BM25_SQL,
     "lexical_bm25_filtered": BM25_FILTERED_SQL,
@@ -392,6 +408,8 @@ ORACLE = {
     "cosine_scores": _DENSE.format(score="list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(q.v, q.v)))", where=""),
     "tiered_merge": _TIERED,
     "tiered_candidates": _TIERED,
+    "tiered_merge_all": _TIERED_ALL,
+    "tiered_candidates_all": _TIERED_ALL,
     "rrf_fusion": _RRF + " SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM fu WHERE rank <= 10",
     "feature_rerank": _BM25.format(where="") + _RERANK.format("lex") + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fin WHERE rank <= 10",
     "hybrid_search": _RRF + _RERANK.format("fu") + _HYBRID_OUT,

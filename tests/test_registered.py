@@ -36,6 +36,12 @@ def test_reconcile_sees_every_corpus(spark):
     assert len({c for c, _ in got}) > 1 and {p for _, p in got} == {"extra", "gap", "conflicting"}
 
 
+@pytest.mark.parametrize("name", ["tiered_merge_all", "tiered_candidates_all"])
+def test_tiers_have_every_vector(spark, name):
+    found = {r["vec_id"] for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    assert any(k % 2 and k % 3 for k in found) and not any(k % 7 == 0 for k in found)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
