@@ -60,6 +60,25 @@ def oversized_runs(data: bytes, starts: list[int], limit: int) -> list[tuple[int
     return out
 
 
+def entered_runs(data: bytes, starts: list[int], cuts: list[int], limit: int) -> list[tuple[int, int]]:
+    """The runs of ``oversized_runs`` as the cuts show them: pieces hold at most ``limit`` new bytes, so each such run is cut inside."""
+    ends = [*[s - 1 for s in starts[1:]], len(data)]
+    blank = lambda i: _BLANK.fullmatch(data, starts[i], ends[i]) is not None
+    out, last = [], -1
+    for cut in cuts:
+        first = bisect_right(starts, cut - 1) - 1
+        if first <= last or blank(first):
+            continue
+        last = first
+        while first > 0 and not blank(first - 1):
+            first -= 1
+        while last + 1 < len(starts) and not blank(last + 1):
+            last += 1
+        if ends[last] - starts[first] > limit:
+            out.append((first, last))
+    return out
+
+
 def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.125) -> list[dict]:
     """The pieces of one text: ordinal, text, level of the boundary it ends at, lines, bytes, and the byte where its new part begins.
 
@@ -70,7 +89,6 @@ def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.
     """
     data = normalised(text)
     starts = [0, *[m.end() for m in re.finditer(rb"\n", data)]]
-    runs = oversized_runs(data, starts, limit)
     n = len(data)
     cuts = [
         [*[m.start() for m in _HEADING.finditer(data)], n],
@@ -80,7 +98,6 @@ def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.
         [m.end() for m in _WORD.finditer(data)],
     ]
     pieces, s, o = [], 0, 0
-    run_starts = [starts[a] for a, _ in runs]
     while s < n:
         room = limit - (s - o)
         end, level = 0, len(LEVELS) - 1
@@ -100,7 +117,6 @@ def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.
                 while end < n and data[end] & 0xC0 == 0x80:
                     end += 1
         body = data[o:end].rstrip(b"\n")
-        a, b = bisect_left(run_starts, s), bisect_left(run_starts, end)
         pieces.append(
             {
                 "ordinal": len(pieces),
@@ -111,7 +127,7 @@ def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.
                 "start_byte": o,
                 "new_byte": s,
                 "end_byte": end,
-                "long_runs": [{"start_line": x, "end_line": y} for x, y in runs[a:b]],
+                "long_runs": [],
             }
         )
         # the overlap of the next piece
@@ -126,6 +142,9 @@ def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.
             i = bisect_left(words, end - limit // 8)
             nxt = words[i] if i < len(words) and words[i] < end else end
         s, o = end, min(max(nxt, o + 1), end)
+    begins = [p["new_byte"] for p in pieces]
+    for a, b in entered_runs(data, starts, begins[1:], limit):
+        pieces[bisect_right(begins, starts[a]) - 1]["long_runs"].append({"start_line": a, "end_line": b})
     return pieces
 
 

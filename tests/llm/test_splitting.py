@@ -86,3 +86,20 @@ def test_linear_time():
     began = time.time()
     assert len(splitting.split_text(text, 1600, 2)) > 1000
     assert time.time() - began < 10
+
+
+def test_long_runs_come_from_the_cuts(monkeypatch):
+    r = random.Random(5)
+    scan, found = splitting.oversized_runs, 0
+    for _ in range(300):
+        text = "".join(r.choice(["word ", "a. ", "é", "\n", "\n", " \t\n", "\n\n", "# h\n", "x" * 30]) for _ in range(r.randrange(200)))
+        data = splitting.normalised(text)
+        starts = [0, *[i + 1 for i, c in enumerate(data) if c == 10]]
+        want = scan(data, starts, 48)
+        with monkeypatch.context() as m:
+            m.setattr(splitting, "oversized_runs", lambda *a: [])
+            pieces = splitting.split_text(text, 48, r.randrange(3))
+        assert [(x["start_line"], x["end_line"]) for p in pieces for x in p["long_runs"]] == want
+        assert all(p["new_byte"] <= starts[x["start_line"]] < p["end_byte"] for p in pieces for x in p["long_runs"])
+        found += len(want)
+    assert found > 100 and splitting.entered_runs(b"x" * 60, [0], [], 48) == []
