@@ -1,20 +1,25 @@
 """Scores for abusive, hateful or sexually explicit text: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Texts are folded first (case, accents, look-alike letters, digits and signs used as letters, blanks and signs inside words,
-stretched and masked letters) and cut into segments of a sentence or 32 words at most. A segment's features are its word
+Texts are cut into segments of a sentence or 32 words at most and folded (case, accents, look-alike letters, digits and signs used as
+letters, blanks and signs inside words, stretched, masked and run-together words). A segment's features are its word
 1- to 3-grams and skip-grams. A document scores as its most abusive segment does, so a long harmless text hides nothing.
 
-Labels are per document and partly wrong. The model is fitted in rounds: after each, a positive document is
-represented by its highest-scoring segments only, and labels that the last round strongly contradicts are left out.
+Labels are per document and partly wrong. The model is fitted in rounds: after each, a positive document is represented by its
+highest-scoring segments only, and labels that models without this document contradict are left out. Documents without a label, nearly
+all of them harmless, are learned as weak negatives, together half as heavy as the labelled ones: a wrong
+yes on a document of common sentences then has the collection against it.
 
-The fit uses a sample of at most ``max_labelled`` labelled documents (chosen by a hash of the id), everything else all rows.
-The weights are sparse (L1) and bounded by the number of hash slots, which bounds the broadcast to 8 bytes a slot.
+What the fit sees is bounded: ``max_labelled`` labelled and ``max_unlabelled`` other documents (chosen by a hash of the id), of
+whose segments at most about ``max_segments`` are drawn by a hash. Their words' hashes are what the driver holds.
+Every segment of every text is scored. The weights are sparse (L1) and bounded by the number of hash
+slots, which bounds their broadcast to 8 bytes a slot; the vocabulary sent with them has at most ``MAX_VOCABULARY`` words.
 
 Defined results
 - null, empty and blank texts: score 0;
 - very long texts: every segment is scored, none is cut off;
-- repeated documents: each row gets its score; ties in labels (as many yes as no): a target of one half;
-- null labels, null ids and labels of unknown documents: not used; without any label only the seed sentences are learned;
+- repeated documents: each row gets its score; in the fit a doc_id counts once (the greatest text);
+- ties in labels (as many yes as no): a target of one half, learned as a no of that strength;
+- null labels, null ids and labels of unknown documents: not used; without any label the seed sentences and the unlabelled documents are learned;
 - null or unknown sources: a rate of their own under their folded name or null; empty tables: no rows;
 - extra columns: ignored, whatever their names.
 """
@@ -33,33 +38,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.abuse_seeds import HARMFUL, HARMLESS
+from siftwell.session import materialize
 
-BITS = 20
+BITS = 22
 WORDS_PER_SEGMENT = 32
-#: Longer words (encoded data, addresses) count as one word of their own kind.
-LONGEST_WORD = 30
-MAX_LABELLED = 12_000
-MAX_TRAIN_BYTES = 65_536
-#: Under so many labelled documents the fit is repeated (up to 8 times) and averaged.
-REPEATED_DOCUMENTS = 4_000
+#: Bounds of the sample that the model is fitted on, and of the vocabulary that is broadcast with it.
+MAX_LABELLED, MAX_UNLABELLED, MAX_SEGMENTS, MAX_VOCABULARY = 12_000, 5_000, 400_000, 200_000
+#: All unlabelled documents together weigh so much of what the labelled negatives do, one of them at most so much of a labelled one.
+UNLABELLED_SHARE, UNLABELLED_MOST = 0.5, 0.3
 #: A yes is doubted if no segment scores above the first, a no if one scores above the second, out of fold.
 DOUBT_YES, DOUBT_NO = 0.3, 0.75
-SCHEMA = "doc_id long, score double"
+#: A document counts as abusive from this score on. Chosen on documents relabelled at random with 5 % wrong labels (README).
+THRESHOLD = 0.35
+FITS = 2
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аесорхуіјѕԁһкмтвнгАЕСОРХУІЈЅКМТВНαορνικτυ", "aecopxyijsdhkmtbhrAECOPXYIJSKMTBHaopviktu")
 #: Digits and signs used as letters.
 LEET = str.maketrans("013457@$!89", "oieastasibg")
+#: Letters of scripts written without blanks, each a word of its own (South-East Asian, Tibetan, kana, Han).
+UNSPACED = "฀-࿿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-鿿가-힯豈-﫿\U00020000-\U0003ffff"
 
 _SENTENCE_END = re.compile(r"[\n\r]+|(?<=[.!?…。！？;])[\"')\]”»]*\s+|(?<=[。！？])")
-_HIDDEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+_HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W_](?: [^\W_*]){2,}(?![^\W\d_])")
 _INNER = re.compile(r"(?<=[^\W_])[-_.·~'’](?=[^\W_])")
 _INNER_MARK = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
+#: What only the slower part of the folding treats: letters with blanks or signs between them, letters beside digits and signs.
+_ODD = re.compile(r"[^\W_][-_.·~'’!][^\W_]|[^\W\d_][*!_]*[013457@$]|[013457@$][*!_]*[^\W\d_]|(?<![^\W\d_])[^\W_] [^\W_] [^\W_](?![^\W\d_])")
 _STRETCHED = re.compile(r"(\w)\1+")
-_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[\w*@$]+")
+_WORD = re.compile(f"[{UNSPACED}]|[\\w*@$]+")
 _SIGNED_WORD, _LEET_SIGN, _LETTER, _DIGIT = re.compile(r"[\w@$!*]+"), re.compile("[013457@$]"), re.compile(r"[^\W\d_]"), re.compile(r"\d")
-_CYRILLIC = re.compile("[\u0370-\u052f]")
+_CYRILLIC = re.compile("[Ͱ-ԯ]")
 _OTHER_CYRILLIC = re.compile("[бгджзийлпфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯґєї]")
 _LATIN = re.compile("[A-Za-z]")
 _NUMBER = re.compile(r"\d+")
@@ -67,22 +77,33 @@ _NUMBER = re.compile(r"\d+")
 
 def fold(segment: str) -> list[str]:
     """The words of a segment in their folded form; a masked letter stays as ``*``."""
+    return [w for w in map(folded_word, raw_words(segment)) if w]
+
+
+def folded_word(word: str) -> str:
+    """Stretched letters once, numbers as 0; nothing of a word that is only a mask."""
+    return _NUMBER.sub("0", _STRETCHED.sub(r"\1", word)) if word.strip("*") else ""
+
+
+def raw_words(segment: str) -> list[str]:
+    """The words after all folding that looks beyond a single word."""
     if not segment.isascii():
         segment = unicodedata.normalize("NFKD", _HIDDEN.sub("", segment))
         if _CYRILLIC.search(segment) and _LATIN.search(segment) and not _OTHER_CYRILLIC.search(segment):
             segment = segment.translate(LOOKALIKES)
-        segment = "".join(c for c in segment if not unicodedata.combining(c))
+        if not segment.isascii():
+            segment = "".join(c for c in segment if not unicodedata.combining(c))
     s = segment.lower()
-    if " " in s and _SPACED.search(s):
-        s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s)
+    if not _ODD.search(s):
+        return _WORD.findall(s)
+    s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s)
     s = _INNER.sub("", _INNER_MARK.sub("i", s))
     if _LEET_SIGN.search(s):
         mixed = [w.rstrip("!") for w in _SIGNED_WORD.findall(s) if _LEET_SIGN.search(w) and _LETTER.search(w)]
         if mixed:
             every = sum(_DIGIT.search(w) is not None for w in mixed) > 1
             s = _SIGNED_WORD.sub(lambda m: _leet(m.group(), every), s)
-    words = [_NUMBER.sub("0", _STRETCHED.sub(r"\1", w)) for w in _WORD.findall(s) if w.strip("*")]
-    return [w if len(w) <= LONGEST_WORD else "~" for w in words]
+    return _WORD.findall(s)
 
 
 def _leet(word: str, every: bool) -> str:
@@ -95,48 +116,88 @@ def _leet(word: str, every: bool) -> str:
     return word
 
 
+def windows(n: int) -> list[tuple[int, int]]:
+    """A sentence of n words as segments: whole, or in half-overlapping windows."""
+    if n <= WORDS_PER_SEGMENT:
+        return [(0, n)]
+    half = WORDS_PER_SEGMENT // 2
+    return [(i, min(n, i + WORDS_PER_SEGMENT)) for i in range(0, n - half, half)]
+
+
 def segments(text: str | None) -> Iterator[list[str]]:
-    """Folded segments: sentences, the long ones as half-overlapping windows."""
+    """Folded segments of a text."""
     for sentence in _SENTENCE_END.split(text or ""):
-        if not sentence or sentence.isspace():
-            continue
-        words = fold(sentence)
-        if len(words) <= WORDS_PER_SEGMENT:
-            if words:
-                yield words
-            continue
-        for i in range(0, len(words) - WORDS_PER_SEGMENT // 2, WORDS_PER_SEGMENT // 2):
-            yield words[i : i + WORDS_PER_SEGMENT]
+        words = fold(sentence) if sentence else []
+        for a, b in windows(len(words)) if words else ():
+            yield words[a:b]
 
 
 class Words:
-    """Word hashes, with masked words resolved by a vocabulary (the most frequent word that fits)."""
+    """Word hashes. Words that the vocabulary lacks are read by it: masked ones as its most frequent word that fits, run-together ones as its words in a row."""
 
     def __init__(self, vocabulary: Iterable[tuple[str, int]] = ()):
-        self.masked: dict[str, str] = {}
-        self.cache: dict[str, int] = {}
-        for word, _ in sorted(vocabulary, key=lambda x: (x[1], x[0])):
-            if 2 < len(word) < 16 and "*" not in word:
-                for i in range(len(word)):
-                    self.masked[word[:i] + "*" + word[i + 1 :]] = word
-
-    def hash(self, word: str) -> int:
-        h = self.cache.get(word)
-        if h is None:
+        self.counts = {w: n for w, n in vocabulary if "*" not in w}
+        self.by_length: dict[int, list[str]] = {}
+        for w in sorted(self.counts, key=lambda w: (-self.counts[w], w)):
+            self.by_length.setdefault(len(w), []).append(w)
+        self.longest = max((len(w) for w in self.counts if len(w) < 32), default=0)
+        self.cache: dict[str, tuple[int, ...]] = {}
+
+    def resolved(self, word: str) -> list[str]:
+        """The words that a folded word stands for."""
+        if "*" in word:
+            body = word.strip("*")
+            for shape in (word, body):
+                if "*" in shape and len(shape) > 2:
+                    fits = re.compile(re.escape(shape).replace(r"\*", ".")).fullmatch
+                    found = next((w for w in self.by_length.get(len(shape), ()) if fits(w)), None)
+                    if found:
+                        return [found]
+            return [body if body in self.counts else word.replace("*", "")]
+        if len(word) >= 10 and word not in self.counts and self.longest:
+            return self._cut(word) or [word]
+        return [word]
+
+    def _cut(self, word: str) -> list[str] | None:
+        """The word as the fewest words of the vocabulary, of three letters or more on average; None if it is not such a chain. Ends where no chain goes on."""
+        best: dict[int, tuple[int, int]] = {0: (0, 0)}
+        reach = 0
+        for i in range(len(word)):
+            if i > reach:
+                return None
+            if i in best:
+                for j in range(i + 1, min(len(word), i + self.longest) + 1):
+                    if word[i:j] in self.counts and (j not in best or best[j][0] > best[i][0] + 1):
+                        best[j] = (best[i][0] + 1, i)
+                        reach = max(reach, j)
+        out, j = [], len(word)
+        while j and j in best:
+            out.append(word[best[j][1] : j])
+            j = best[j][1]
+        return out[::-1] if not j and 3 * len(out) <= len(word) else None
+
+    def hashes(self, raw: str) -> tuple[int, ...]:
+        """Of a raw word, usually one; none of a word that is only a mask."""
+        word = folded_word(raw)
+        got = tuple(zlib.crc32(w.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFFFFFF for w in self.resolved(word) if w) if word else ()
+        if len(raw) < 64:
             if len(self.cache) > 500_000:
                 self.cache.clear()
-            plain = word
-            if "*" in word:
-                plain = self.masked.get(word) or self.masked.get(word.strip("*")) or word.replace("*", "")
-            h = self.cache[word] = zlib.crc32(plain.encode()) * 0x9E3779B1 & 0xFFFFFFFFFFFF
-        return h
+            self.cache[raw] = got
+        return got
+
+    def hash(self, word: str) -> int:
+        return self.hashes(word)[0]
+
+    def line(self, raw: list[str]) -> list[int]:
+        """The hashes of a row of raw words."""
+        known = self.cache
+        return [h for w in raw for h in (known[w] if w in known else self.hashes(w))]
 
 
-def hashed(parts: list[list[str]], words: Words) -> tuple[np.ndarray, np.ndarray]:
+def hashed(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slot, segment) of all features: word 1-, 2- and 3-grams, and pairs with one or two words left out."""
-    lengths = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-    h = np.fromiter((words.hash(w) for p in parts for w in p), np.uint64, int(lengths.sum()))
-    seg = np.repeat(np.arange(len(parts)), lengths)
+    seg = np.repeat(np.arange(len(lengths)), lengths)
     slots, owner = [_slot(h)], [seg]
     with np.errstate(over="ignore"):
         for gap, salt in ((1, 3), (2, 5), (3, 7)):
@@ -159,12 +220,16 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Ftrl:
     """FTRL-proximal logistic regression with per-coordinate rates, fed in small batches."""
 
-    def __init__(self, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.4, l2: float = 0.1):
+    def __init__(self, size: int, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.4, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        self.z, self.n = np.zeros(size), np.zeros(size)
         self.bias_z = self.bias_n = 0.0
 
     def weights(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -178,7 +243,7 @@ class Ftrl:
         unique, inverse = np.unique(slots, return_inverse=True)
         w, b = self.weights(unique), self.bias()
         margin = np.bincount(owner, w[inverse], len(target)) + b
-        g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target) * importance
+        g = (sigmoid(margin) - target) * importance
         gradient = np.bincount(inverse, g[owner], len(unique))
         squares = np.bincount(inverse, g[owner] ** 2, len(unique))
         n = self.n[unique]
@@ -190,134 +255,205 @@ class Ftrl:
 
 
 class Model:
-    """Sparse weights, the bias and the vocabulary for masked words; small enough to broadcast."""
+    """Sparse weights, the bias and the vocabulary for masked and run-together words; small enough to broadcast."""
+
+    #: Margins of so many sentences are kept by a worker, as many are met again and again.
+    KEPT = 100_000
 
-    def __init__(self, index: np.ndarray, value: np.ndarray, bias: float, vocabulary: list[tuple[str, int]], threshold: float = 0.5):
+    def __init__(self, index: np.ndarray, value: np.ndarray, bias: float, vocabulary: list[tuple[str, int]], threshold: float = THRESHOLD):
         self.index, self.value, self.bias, self.vocabulary, self.threshold = index, value, bias, vocabulary, threshold
         self._dense: np.ndarray | None = None
-        self._words: Words | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_dense": None, "_words": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_words", "_seen")} | {"_dense": None}
 
-    def segment_margins(self, parts: list[list[str]]) -> np.ndarray:
+    def _open(self) -> None:
         if self._dense is None:
             self._dense = np.zeros(1 << BITS, np.float32)
             self._dense[self.index] = self.value
-            self._words = Words(self.vocabulary)
-        if not parts:
-            return np.zeros(0)
-        slots, owner = hashed(parts, self._words)
-        return np.bincount(owner, self._dense[slots], len(parts)) + self.bias
+            self._words, self._seen = Words(self.vocabulary), {}
+
+    def segment_margins(self, h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        slots, owner = hashed(h, lengths)
+        return np.bincount(owner, self._dense[slots], len(lengths)) + self.bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """One score per text, 0 for those without a word."""
-        parts, owner = [], []
+        self._open()
+        seen, line = self._seen, self._words.line
+        if len(seen) > self.KEPT:
+            seen.clear()
+        h, lengths, of, fresh = [], [], [], {}
+        at, owner = [], []
+        known_margin, known_owner = [], []
         for i, t in enumerate(texts):
-            for p in segments(t):
-                parts.append(p)
+            for s in _SENTENCE_END.split(t or ""):
+                if not s:
+                    continue
+                m = seen.get(s)
+                if m is not None:
+                    known_margin.append(m)
+                    known_owner.append(i)
+                    continue
+                k = fresh.get(s)
+                if k is None:
+                    k = fresh[s] = len(fresh)
+                    words = line(raw_words(s))
+                    for a, b in windows(len(words)) if words else ():
+                        h += words[a:b]
+                        lengths.append(b - a)
+                        of.append(k)
+                at.append(k)
                 owner.append(i)
         best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, np.array(owner, np.int64), self.segment_margins(parts))
-        return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -30, 30))), 0.0)
+        if fresh:
+            margin = np.full(len(fresh), -np.inf)
+            if lengths:
+                np.maximum.at(margin, np.array(of), self.segment_margins(np.array(h, np.uint64), np.array(lengths)))
+            np.maximum.at(best, np.array(owner), margin[at])
+            for s, m in zip(fresh, margin.tolist(), strict=True):
+                if len(s) < 512:
+                    seen[s] = m
+        np.maximum.at(best, np.array(known_owner, np.int64), np.array(known_margin))
+        return np.where(np.isfinite(best), sigmoid(best), 0.0)
+
+
+def fit(texts: list[str], targets: list[float], unlabelled: list[str] = (), seeds: bool = True, **options) -> Model:
+    """Fit on labelled documents (targets from 0 to 1), unlabelled ones and the seed sentences, all in memory."""
+    every = [*texts, *unlabelled]
+    rows = [(i, p) for i, t in enumerate(every) for p in segments(t)]
+    words = pa.array([p for _, p in rows], pa.list_(pa.string()))
+    return fit_segments(np.array([i for i, _ in rows], np.int64), words, np.array([*targets, *[np.nan] * len(unlabelled)], float), seeds, **options)
 
 
-def fit(texts: list[str], targets: list[float], rounds: int = 3, epochs: int = 3, folds: int = 3, batch: int = 64, seed: int = 0, seeds: bool = True) -> Model:
-    """Fit on labelled documents (targets from 0 to 1) and the seed sentences.
+def fit_segments(owner: np.ndarray, words: pa.ListArray, targets: np.ndarray, seeds: bool = True, rounds: int = 3, epochs: int = 3, folds: int = 3, batch: int = 128, seed: int = 0) -> Model:
+    """Fit on segments (folded words) of the documents that ``owner`` numbers; a document without a label has the target nan.
 
     Between the rounds every segment is judged by a model that has not seen its document (``folds``), so that a wrong
-    label cannot vouch for itself. With few documents the weights are the mean of several fits with other folds and orders.
+    label cannot vouch for itself. The weights are the mean of ``FITS`` fits with other folds and orders.
     """
-    repeats = int(np.clip(REPEATED_DOCUMENTS // max(1, len(texts)), 1, 8))
+    extra = [(len(targets) + i, p) for i, t in enumerate(HARMFUL + HARMLESS) for p in segments(t)] if seeds else []
+    kind = np.where(np.isnan(targets), 1, 0)
     if seeds:
-        texts = list(texts) + HARMFUL + HARMLESS
-        targets = list(targets) + [1.0] * len(HARMFUL) + [0.0] * len(HARMLESS)
-    parts, owner, counts = [], [], Counter()
-    for i, t in enumerate(texts):
-        for p in segments(t):
-            parts.append(p)
-            owner.append(i)
-            counts.update(set(p))
-    vocabulary = counts.most_common(50_000)
-    if not parts:
-        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, vocabulary)
-    owner, target = np.array(owner, np.int64), np.array(targets, float)
-    trusted = np.arange(len(texts)) >= len(texts) - (len(HARMFUL) + len(HARMLESS)) * seeds
-    slots, of = hashed(parts, Words(vocabulary))
+        owner = np.concatenate([owner, np.array([i for i, _ in extra], np.int64)])
+        words = pa.concat_arrays([words, pa.array([p for _, p in extra], words.type)])
+        targets = np.concatenate([targets, np.repeat([1.0, 0.0], [len(HARMFUL), len(HARMLESS)])])
+        kind = np.concatenate([kind, np.full(len(HARMFUL) + len(HARMLESS), 2)])
+    target = np.nan_to_num(targets, nan=0.0)
+    coded = words.flatten().dictionary_encode()
+    if not len(coded):
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, [])
+    codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    counts = np.bincount(codes, minlength=len(distinct))
+    vocabulary = Counter(dict(zip(distinct, counts.tolist(), strict=True))).most_common(MAX_VOCABULARY)
+    known = Words(vocabulary)
+    each = [known.hashes(w) for w in distinct]
+    # a word may stand for several: the hashes of all words in a row, and how many there are of each segment
+    sizes = np.array([len(e) for e in each])
+    flat, first = np.array([h for e in each for h in e], np.uint64), np.cumsum(sizes) - sizes
+    per = sizes[codes]
+    h = flat[np.repeat(first[codes] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
+    lengths = np.add.reduceat(np.append(per, 0), np.append(words.offsets.to_numpy()[:-1] - words.offsets[0].as_py(), len(per)))[:-1] * (np.diff(words.offsets.to_numpy()) > 0)
+    slots, of = hashed(h, lengths)
     order = np.argsort(of, kind="stable")
-    slots, starts = slots[order], np.searchsorted(of[order], np.arange(len(parts) + 1))
+    starts = np.searchsorted(of[order], np.arange(len(lengths) + 1))
+    used, slots = np.unique(slots[order], return_inverse=True)
     rng = np.random.default_rng(seed)
 
     def learned(use: np.ndarray, importance: np.ndarray) -> Ftrl:
-        model = Ftrl()
+        model = Ftrl(len(used))
         for _ in range(epochs):
             rng.shuffle(use)
             for i in range(0, len(use), batch):
                 pick = use[i : i + batch]
-                sizes = starts[pick + 1] - starts[pick]
-                at = np.repeat(starts[pick] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                model.learn(slots[at], np.repeat(np.arange(len(pick)), sizes), target[owner[pick]], importance[pick])
+                n = starts[pick + 1] - starts[pick]
+                at = np.repeat(starts[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                model.learn(slots[at], np.repeat(np.arange(len(pick)), n), target[owner[pick]], importance[pick])
         return model
 
-    positive = target > 0.5
-    w, bias, mean_best = np.zeros(1 << BITS), 0.0, np.zeros(len(texts))
-    for _ in range(repeats):
-        importance, fold = np.ones(len(parts)), rng.integers(0, folds, len(texts))[owner]
+    docs, positive, trusted = len(target), target > 0.5, kind == 2
+    no, other = (kind == 0) & ~positive, (kind == 1).sum()
+    weight = np.ones(docs)
+    weight[kind == 1] = min(UNLABELLED_MOST, UNLABELLED_SHARE * max(1, no.sum()) / max(1, other))
+    parts = np.maximum(1, np.bincount(owner, minlength=docs))
+    w, bias = np.zeros(len(used)), 0.0
+    for _ in range(FITS):
+        # at first a positive document's weight is shared among its segments, as nothing tells which of them it is
+        importance = np.where((positive & ~trusted)[owner], 1.0 / parts[owner], weight[owner])
+        fold = rng.integers(0, folds, docs)[owner]
         for _ in range(rounds):
-            margin = np.zeros(len(parts))
+            p = np.zeros(len(lengths))
             for f in range(folds):
                 model = learned(np.flatnonzero((importance > 0) & ((fold != f) | trusted[owner])), importance)
-                own = np.add.reduceat(model.weights()[slots], starts[:-1]) + model.bias()
-                margin[fold == f] = own[fold == f]
-            p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            best = np.zeros(len(texts))
+                margin = np.bincount(np.repeat(np.arange(len(lengths)), np.diff(starts)), model.weights()[slots], len(lengths)) + model.bias()
+                p[fold == f] = sigmoid(margin)[fold == f]
+            best = np.zeros(docs)
             np.maximum.at(best, owner, p)
-            importance = np.where(positive[owner], ((p >= 0.7 * best[owner]) & (best[owner] > DOUBT_YES)).astype(float), (best[owner] < DOUBT_NO).astype(float))
+            importance = np.where(positive[owner], (p >= 0.7 * best[owner]) & (best[owner] > DOUBT_YES), (best[owner] < DOUBT_NO) * weight[owner])
             importance[trusted[owner]] = 1.0
         final = learned(np.flatnonzero(importance > 0), importance)
-        w, bias, mean_best = w + final.weights() / repeats, bias + final.bias() / repeats, mean_best + best / repeats
+        w, bias = w + final.weights() / FITS, bias + final.bias() / FITS
     index = np.flatnonzero(w)
-    return Model(index.astype(np.int32), w[index].astype(np.float32), float(bias), vocabulary, _threshold(mean_best, target))
+    return Model(used[index].astype(np.int32), w[index].astype(np.float32), float(bias), vocabulary)
 
 
-def _threshold(best: np.ndarray, target: np.ndarray) -> float:
-    """The score from which a document counts as abusive: the middle of those between 0.3 and 0.5 whose F1 out of fold is within 0.01 of the best."""
-    grid = np.arange(30, 51) / 100
-    yes = target > 0.5
-    f1 = [2 * (yes & (best >= t)).sum() / max(1, yes.sum() + (best >= t).sum()) for t in grid]
-    good = grid[np.array(f1) >= max(f1) - 0.01]
-    return float(good[0] + good[-1]) / 2
+def training_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
+    """(doc_id, target, text) of the sample that the model is fitted on: the mean of a document's labels, null for those without."""
+    first = lambda df, n: df.orderBy(F.xxhash64("_id"), "_id").limit(n)
+    targets = labels.filter("doc_id IS NOT NULL AND abusive IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.avg("abusive").alias("target"))
+    known = materialize(first(targets, max_labelled), "labelled")
+    ids = documents.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL")
+    others = first(ids.distinct().join(F.broadcast(known.select("_id")), "_id", "left_anti"), max_unlabelled).withColumn("target", F.lit(None).cast("double"))
+    sample = materialize(known.unionByName(others), "sample")
+    texts = documents.select("doc_id", "text").filter("text <> ''").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    return texts.groupBy("doc_id").agg(F.max("target").alias("target"), F.max("text").alias("text"))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list[str], list[float]]:
-    """Texts and targets (the mean of a document's labels) of the sample the model is fitted on."""
-    targets = labels.filter("doc_id IS NOT NULL AND abusive IN (0, 1)").groupBy("doc_id").agg(F.avg("abusive").alias("target"))
-    texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("text")).filter(F.octet_length("text").between(1, MAX_TRAIN_BYTES))
-    rows = targets.join(texts, F.col("doc_id") == F.col("_id")).select("text", "target", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(max_labelled)
-    got = rows.select("text", "target").toPandas()
-    return got["text"].tolist(), got["target"].tolist()
+def training_segments(sample: DataFrame, max_segments: int = MAX_SEGMENTS) -> DataFrame:
+    """(doc_id, target, words): the folded segments of the sample; beyond ``max_segments`` a part of them, drawn by a hash."""
 
-
-def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    return fit(*labelled_sample(documents, labels, max_labelled))
-
-
-def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                parts = list(segments(b.column(2)[i].as_py()))
+                for a in range(0, len(parts), 10_000):
+                    some = parts[a : a + 10_000]
+                    take = pa.array([i] * len(some))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(range(a, a + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], ["doc_id", "target", "part", "words"])
+
+    rows = materialize(sample.select(F.col("doc_id").cast("long"), "target", "text").mapInArrow(run, "doc_id long, target double, part long, words array<string>"), "segments")
+    n = rows.count()
+    if n > max_segments:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "part"), F.lit(1 << 30)) < int(max_segments / n * (1 << 30)))
+    return rows.drop("part")
+
+
+def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, max_segments: int = MAX_SEGMENTS) -> Model:
+    got = training_segments(training_documents(documents, labels, max_labelled, max_unlabelled), max_segments).toArrow().sort_by("doc_id")
+    ids, owner = np.unique(got.column("doc_id").to_numpy(), return_inverse=True)
+    targets = np.full(len(ids), np.nan)
+    targets[owner] = got.column("target").to_numpy(zero_copy_only=False)
+    words = pa.concat_arrays(got.column("words").chunks) if got.num_rows else pa.array([], pa.list_(pa.string()))
+    return fit_segments(owner.astype(np.int64), words, targets)
+
+
+def score_documents(documents: DataFrame, model: Model, carried: list[str] = ()) -> DataFrame:
+    """(doc_id, carried columns, score) of every document."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    kept = documents.select(F.col("doc_id").cast("long"), *carried, F.col("text"))
+    names = ["doc_id", *carried, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scores(part.column(1).to_pylist()))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(shared.value.scores(part.columns[-1].to_pylist()))], names)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
+    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", score double")
 
 
-def rates(documents: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(source, documents, flagged, rate) per folded source. ``scores`` has one row per doc_id."""
+def rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(source, documents, flagged, rate) per folded source, of scores that carry their source: one pass over the texts, no join."""
     source = F.lower(F.trim(F.col("source"), F.lit(" \t")))
-    j = documents.select(F.col("doc_id"), source.alias("source")).join(scores.select(F.col("doc_id").alias("_id"), "score"), F.col("doc_id") == F.col("_id"))
     flagged = F.sum((F.col("score") >= threshold).cast("long"))
-    return j.groupBy("source").agg(F.count("*").alias("documents"), flagged.alias("flagged"), F.round(flagged / F.count("*"), 6).alias("rate"))
+    return scored.groupBy(source.alias("source")).agg(F.count("*").alias("documents"), flagged.alias("flagged"), F.round(flagged / F.count("*"), 6).alias("rate"))

@@ -205,27 +205,26 @@ def p9_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 P9_EPOCHS_SQL = _P9_BASE + "SELECT source, size::BIGINT AS size, round(target_share * total, 3) AS budget, CASE WHEN size > 0 THEN least(floor(target_share * total / size), max_repeats) ELSE 0 END::BIGINT AS epochs, true AS within FROM w"
 
 
-def _abuse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
+def _abuse(spark: SparkSession, sf_dir: str, carried: list[str] = ()) -> tuple[DataFrame, float]:
     documents = table(spark, sf_dir, "documents")
     model = abuse.train(documents, table(spark, sf_dir, "doc_labels"))
-    return documents, abuse.score_documents(documents, model), model.threshold
+    return abuse.score_documents(documents, model, carried), model.threshold
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scored as abusive, hateful or sexual."""
-    _, scores, threshold = _abuse(spark, sf_dir)
+    scores, threshold = _abuse(spark, sf_dir)
     return scores.filter(F.col("score") >= threshold).select("doc_id")
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document."""
-    return _abuse(spark, sf_dir)[1]
+    return _abuse(spark, sf_dir)[0]
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate of flagged documents per source."""
-    documents, scores, threshold = _abuse(spark, sf_dir)
-    return abuse.rates(documents, scores, threshold)
+    return abuse.rates(*_abuse(spark, sf_dir, ["source"]))
 
 
 def queries() -> dict:
