@@ -137,9 +137,9 @@ SELECT query_id, chunk_id, round(p, 6) AS points, row_number() OVER (PARTITION B
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that the packing had to divide, sizes by the fallback measure."""
+    """Documents whose parts the packing put into several containers, sizes by the fallback measure."""
     packed = packing.pack(packing.measured_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), CAPACITY)
-    return packed.filter("part = 1").select(F.col("id").alias("doc_id"))
+    return packing.containers_of(packed).filter("parts > 1 AND containers > 1").select(F.col("id").alias("doc_id"))
 
 
 P8_SQL = "SELECT doc_id FROM documents WHERE ceil(strlen(text) / 4.0) > 2048"
@@ -148,7 +148,7 @@ P8_SQL = "SELECT doc_id FROM documents WHERE ceil(strlen(text) / 4.0) > 2048"
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of 2,048 tokens of a public tokenizer."""
     packed = packing.pack(packing.token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), CAPACITY)
-    return packed.select("container", F.col("id").alias("doc_id"), "part", "offset", "size", "step_group")
+    return packed.select("container", F.col("id").alias("doc_id"), "part", "offset", "size", "tier", "window", "step_group")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +163,19 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 P8_CONTAINERS_SQL = "SELECT 0::BIGINT AS overfull, sum(ceil(strlen(text) / 4.0))::BIGINT AS tokens, count(*) AS documents, 0::BIGINT AS needless_cuts FROM documents WHERE text <> ''"
 
 
+def p8_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every tiered packing must respect: no window over its size, no document longer than its window, each window in one container, and little room left."""
+    packed = materialize(packing.pack(packing.measured_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), CAPACITY), "packed")
+    w = packed.groupBy("tier", "window").agg(F.sum("size").alias("used"), F.max("size").alias("longest"), F.countDistinct("container").alias("containers"))
+    bad = lambda c: F.sum(c.cast("long"))
+    a = w.agg(bad(F.col("used") > F.col("tier")).alias("overfull"), bad(F.col("longest") > F.col("tier")).alias("misplaced"), bad(F.col("containers") > 1).alias("straddling"))
+    fill = packed.agg((F.countDistinct("container") <= F.ceil(F.sum("size") / CAPACITY * 1.01) + 1).alias("filled"))
+    return a.crossJoin(fill)
+
+
+P8_TIERS_SQL = "SELECT 0::BIGINT AS overfull, 0::BIGINT AS misplaced, 0::BIGINT AS straddling, true AS filled"
+
+
 def _sized(spark: SparkSession, sf_dir: str, tokens: bool = False) -> DataFrame:
     """Sizes by a public tokenizer or by the fallback measure, on which p9_found and the SQL are defined."""
     return mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source", None if tokens else packing.byte_quarter_size(F.col("text")))
@@ -228,7 +241,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_term_weights, p4_found, p4_pieces, p5_found, p5_nearest, p7_found, p7_ranking, p8_found, p8_packing, p8_containers, p9_found, p9_draws, p9_shares, p9_epochs, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p2_term_weights, p4_found, p4_pieces, p5_found, p5_nearest, p7_found, p7_ranking, p8_found, p8_packing, p8_containers, p8_tiers, p9_found, p9_draws, p9_shares, p9_epochs, p10_found, p10_scores, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -241,6 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "p7_ranking": P7_RANKING_SQL,
         "p8_found": P8_SQL,
         "p8_containers": P8_CONTAINERS_SQL,
+        "p8_tiers": P8_TIERS_SQL,
         "p9_found": P9_SQL,
         "p9_epochs": P9_EPOCHS_SQL,
     }
