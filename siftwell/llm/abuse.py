@@ -239,8 +239,8 @@ class Ftrl:
     def bias(self) -> float:
         return -self.bias_z / ((self.beta + np.sqrt(self.bias_n)) / self.alpha + self.l2)
 
-    def learn(self, slots: np.ndarray, owner: np.ndarray, target: np.ndarray, importance: np.ndarray) -> None:
-        unique, inverse = np.unique(slots, return_inverse=True)
+    def learn(self, unique: np.ndarray, inverse: np.ndarray, owner: np.ndarray, target: np.ndarray, importance: np.ndarray) -> None:
+        """One batch: its distinct slots, which of them each feature is, and whose the feature is."""
         w, b = self.weights(unique), self.bias()
         margin = np.bincount(owner, w[inverse], len(target)) + b
         g = (sigmoid(margin) - target) * importance
@@ -358,17 +358,22 @@ def fit_segments(owner: np.ndarray, words: pa.ListArray, targets: np.ndarray, se
     order = np.argsort(of, kind="stable")
     starts = np.searchsorted(of[order], np.arange(len(lengths) + 1))
     used, slots = np.unique(slots[order], return_inverse=True)
+    slots = slots.astype(np.int32)
     rng = np.random.default_rng(seed)
 
     def learned(use: np.ndarray, importance: np.ndarray) -> Ftrl:
         model = Ftrl(len(used))
-        for _ in range(epochs):
-            rng.shuffle(use)
-            for i in range(0, len(use), batch):
-                pick = use[i : i + batch]
-                n = starts[pick + 1] - starts[pick]
-                at = np.repeat(starts[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                model.learn(slots[at], np.repeat(np.arange(len(pick)), n), target[owner[pick]], importance[pick])
+        rng.shuffle(use)
+        batches = []
+        for i in range(0, len(use), batch):
+            pick = use[i : i + batch]
+            n = starts[pick + 1] - starts[pick]
+            at = np.repeat(starts[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            unique, inverse = np.unique(slots[at], return_inverse=True)
+            batches.append((unique, inverse.astype(np.int32), np.repeat(np.arange(len(pick), dtype=np.int32), n), target[owner[pick]], importance[pick]))
+        for _ in range(epochs):  # the batches stay, their order changes
+            for i in rng.permutation(len(batches)):
+                model.learn(*batches[i])
         return model
 
     docs, positive, trusted = len(target), target > 0.5, kind == 2

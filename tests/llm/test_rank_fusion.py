@@ -9,7 +9,7 @@ NAN, INF = float("nan"), float("inf")
 
 
 def fused(spark, data):
-    return rank_fusion.fuse(spark.createDataFrame([(*d, 1, 2, 3) for d in data], SCHEMA))
+    return rank_fusion.fuse(rank_fusion.list_ranks(spark.createDataFrame([(*d, 1, 2, 3) for d in data], SCHEMA)))
 
 
 def by_hand(data):
@@ -72,3 +72,24 @@ def test_one_large_query(spark):
     hits = [(i, float(i % 1000)) for i in range(20_000)]
     got = fused(spark, [(1, 0, "bm25", 1.0, hits), (1, 1, "l2", 0.5, hits[:100])])
     assert [r["rank"] for r in got.orderBy("rank").collect()] == list(range(1, 20_001))
+
+
+def test_first_by_reciprocal_misses_nothing(spark):
+    """Against the sum over all places, with ties, missing items and uneven weights; most items are never looked at."""
+    r = random.Random(3)
+    data = []
+    for q in range(80):
+        pool = r.randrange(1, 60)
+        for n in range(r.randrange(1, 6)):
+            hits = [(r.randrange(pool), r.choice([1.0, 1.0, 2.0, 3.0, r.random() * 9])) for _ in range(r.randrange(1, 50))]
+            data.append((q, n, r.choice(["bm25", "l2"]), r.choice([0.0, 0.1, 1.0, 3.0]), hits))
+    ranks = rank_fusion.list_ranks(spark.createDataFrame([(*d, 1, 2, 3) for d in data], SCHEMA)).cache()
+    fused_rows = rank_fusion.fuse(ranks).cache()
+    got = rows(rank_fusion.first_by_reciprocal(ranks, fused_rows, 3).select("query_id", "item", "value"))
+    every = rank_fusion.reciprocal(ranks, fused_rows).collect()
+    want = []
+    for q in {x["query_id"] for x in every}:
+        want += [tuple(x) for x in sorted((x for x in every if x["query_id"] == q), key=lambda x: (-x["value"], x["item"]))[:3]]
+    assert got == sorted(want, key=repr)
+    j = fused_rows.withColumn("most", rank_fusion.reciprocal_most()).join(rank_fusion.reciprocal(ranks, fused_rows), ["query_id", "item"])
+    assert j.filter("value > most + 1e-9").count() == 0 and j.filter("most < 0.03").count() > 0

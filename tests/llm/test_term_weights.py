@@ -42,3 +42,16 @@ def test_against_brute_force(spark, monkeypatch, limit):
 
 def test_empty(spark):
     assert rows(weights(spark, [], [1])) == [] and rows(weights(spark, [("a", 1, 1)], [])) == []
+
+
+@pytest.mark.parametrize("records", [2, 3, 30])
+def test_near_the_top_keeps_every_best_term(spark, records):
+    r = random.Random(records)
+    data = [(f"t{int(r.paretovariate(0.6)) % 40}", r.randrange(records), r.choice([1, 1, 2, 3, 9])) for _ in range(records * 30)]
+    w = weights(spark, data, range(records)).cache()
+    near = {(x["record"], x["term"]) for x in term_weights.near_the_top(w).collect()}
+    value = {(x["record"], x["term"]): round(x["tf"] * math.log(x["records"] / x["df"]), 6) for x in w.collect()}
+    for d in range(records):
+        own = {k: v for k, v in value.items() if k[0] == d}
+        assert {k for k, v in own.items() if v == max(own.values())} <= near
+    assert records < 30 or len(near) < len(value) / 2
