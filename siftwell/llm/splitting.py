@@ -2,7 +2,9 @@
 
 Separators form a hierarchy: section, paragraph, sentence, line, word, character. From where the last piece ended, the next one takes as
 many units of the strongest level as fit; only if not even one does, the unit is entered at the next level. Each piece
-begins with the last lines of the piece before. Sizes are UTF-8 bytes of the text with CR LF and CR as LF.
+begins with the given number of the last lines of the piece before, however long they are. Fewer are repeated only where not one new
+character would fit beside them, or where the piece before has no more lines; ``repeated_lines`` tells how many, and if it
+is none, the last words within an eighth of the limit are repeated. Sizes are UTF-8 bytes of the text with CR LF and CR as LF.
 
 Defined results
 - null or empty texts, and texts within the limit: not oversized, no rows (``whole=True`` passes them through as one piece);
@@ -38,6 +40,7 @@ def _any_of(characters: str) -> bytes:
 #: A stop, closing marks and the blanks after them; after a wide stop no blank is needed.
 _SENTENCE = re.compile(_any_of(_STOPS) + _any_of(_CLOSERS) + b"*[ \t\n]+|" + _any_of(_WIDE_STOPS) + _any_of(_CLOSERS) + b"*[ \t\n]*")
 _WORD = re.compile(rb"[ \t]+")
+_CHARACTER = re.compile(rb".[\x80-\xbf]*", re.S)
 
 
 def normalised(text: str) -> bytes:
@@ -83,9 +86,7 @@ def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.
     """The pieces of one text: ordinal, text, level of the boundary it ends at, lines, bytes, and the byte where its new part begins.
 
     New parts joined are the normalised text. A level's last boundary that fits is passed over if it would leave the new
-    part under ``least_fill`` of the room and a weaker level offers a later one. The overlap is the last ``overlap_lines`` lines
-    of the piece before; lines that would take more than half of the limit are left out, and if that leaves none,
-    its last words within an eighth of the limit are repeated.
+    part under ``least_fill`` of the room and a weaker level offers a later one.
     """
     data = normalised(text)
     starts = [0, *[m.end() for m in re.finditer(rb"\n", data)]]
@@ -97,7 +98,7 @@ def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.
         starts[1:],
         [m.end() for m in _WORD.finditer(data)],
     ]
-    pieces, s, o = [], 0, 0
+    pieces, s, o, repeated = [], 0, 0, 0
     while s < n:
         room = limit - (s - o)
         end, level = 0, len(LEVELS) - 1
@@ -110,12 +111,8 @@ def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.
                 break
         if not end:
             end = min(n, s + room)
-            while end < n and data[end] & 0xC0 == 0x80 and end > s + 1:
+            while end < n and data[end] & 0xC0 == 0x80:
                 end -= 1
-            if end < n and data[end] & 0xC0 == 0x80:  # not one character fits beside the overlap: no overlap here
-                end, o = s + 1, s
-                while end < n and data[end] & 0xC0 == 0x80:
-                    end += 1
         body = data[o:end].rstrip(b"\n")
         pieces.append(
             {
@@ -127,21 +124,22 @@ def split_text(text: str, limit: int, overlap_lines: int, least_fill: float = 0.
                 "start_byte": o,
                 "new_byte": s,
                 "end_byte": end,
+                "repeated_lines": repeated,
                 "long_runs": [],
             }
         )
-        # the overlap of the next piece
-        first = bisect_right(starts, max(o, o + len(body) - 1)) - 1
-        line = max(first - overlap_lines + 1, 0)
-        nxt = max(starts[line], o) if overlap_lines else end
-        while end - nxt > limit // 2 and line <= first:
-            line += 1
-            nxt = max(starts[line], o) if line <= first else end
-        if overlap_lines and nxt >= end and end < n:
-            words = cuts[4]
-            i = bisect_left(words, end - limit // 8)
-            nxt = words[i] if i < len(words) and words[i] < end else end
-        s, o = end, min(max(nxt, o + 1), end)
+        # the overlap of the next piece: whole lines after the piece's start that leave room for one more character
+        last, repeated, nxt = pieces[-1]["end_line"], 0, end
+        if overlap_lines and end < n:
+            fits = max(o + 1, end + len(_CHARACTER.match(data, end).group()) - limit)
+            line = max(last - overlap_lines + 1, bisect_left(starts, fits))
+            if line <= last:
+                nxt, repeated = starts[line], last - line + 1
+            else:
+                words = cuts[4]
+                i = bisect_left(words, max(o + 1, end - limit // 8))
+                nxt = words[i] if i < len(words) and words[i] < end else end
+        s, o = end, nxt
     begins = [p["new_byte"] for p in pieces]
     for a, b in entered_runs(data, starts, begins[1:], limit):
         pieces[bisect_right(begins, starts[a]) - 1]["long_runs"].append({"start_line": a, "end_line": b})
@@ -158,10 +156,11 @@ _PIECE = pa.struct(
         ("start_byte", pa.int64()),
         ("new_byte", pa.int64()),
         ("end_byte", pa.int64()),
+        ("repeated_lines", pa.int32()),
         ("long_runs", pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32())]))),
     ]
 )
-PIECE_SCHEMA = "ordinal int, text string, level string, start_line int, end_line int, start_byte long, new_byte long, end_byte long, long_runs array<struct<start_line:int,end_line:int>>"
+PIECE_SCHEMA = "ordinal int, text string, level string, start_line int, end_line int, start_byte long, new_byte long, end_byte long, repeated_lines int, long_runs array<struct<start_line:int,end_line:int>>"
 
 
 def _split_batches(batches: Iterator[pa.RecordBatch], limit: int, overlap_lines: int, keys: int) -> Iterator[pa.RecordBatch]:
@@ -186,7 +185,7 @@ def _split_batches(batches: Iterator[pa.RecordBatch], limit: int, overlap_lines:
 
 
 def split_documents(df: DataFrame, keys: list[str], text: str, limit: int = 1600, overlap_lines: int = 2, whole: bool = False) -> DataFrame:
-    """(keys, ordinal, text, level, start_line, end_line, start_byte, new_byte, end_byte, long_runs): the pieces of each oversized text.
+    """(keys, ordinal, text, level, start_line, end_line, start_byte, new_byte, end_byte, repeated_lines, long_runs): the pieces of each oversized text.
 
     ``long_runs`` has the runs of non-blank lines over the limit that begin in the piece. The size filter runs in the JVM
     before anything is sent to Python, and repeated rows are dropped among the oversized ones only.

@@ -51,6 +51,27 @@ def test_overlap_lines():
         assert b["start_line"] == a["end_line"] - 1 and b["text"].split("\n")[:2] == a["text"].split("\n")[-2:]
 
 
+def test_long_lines_are_repeated_too():
+    """Lines of more than half of the limit are repeated whole, as long as one character fits beside them and the piece before has more."""
+    text = "\n".join(f"{i} " + "x" * 46 for i in range(10, 50))
+    pieces = check(text, 150, 2)
+    for a, b in zip(pieces, pieces[1:], strict=False):
+        lines = a["text"].split("\n")
+        want = min(2, len(lines) - 1)
+        assert b["repeated_lines"] >= min(want, 1) and b["text"].startswith("\n".join(lines[len(lines) - b["repeated_lines"] :]))
+    assert all(p["repeated_lines"] == 2 for p in pieces[1:])
+    one = check("y" * 500 + "\nend", 100, 2)
+    assert [p["repeated_lines"] for p in one][:4] == [0, 0, 0, 0]
+
+
+def test_ten_megabyte_line():
+    import time
+
+    began = time.time()
+    pieces = splitting.split_text("a" * 10_000_000 + "\n" + "b c " * 100_000, 1600, 2)
+    assert pieces[-1]["end_byte"] == 10_400_001 and time.time() - began < 20
+
+
 def test_long_runs():
     long = "\n".join("x" * 50 for _ in range(10))
     pieces = splitting.split_text(f"a\n\n{long}\n \t\nshort\r\n\r\n# H\n{long}", 300, 1)
