@@ -6,10 +6,13 @@
 3. Every vector searches its nearest centroids in an in-memory graph: pivots link to the centroids around them, and
    centroids to their nearest ones. Distance ratios to the nearest centroid decide in which lists it is stored (boundary vectors
    in several) and which it probes.
-4. Each list compares its probing vectors with its stored ones, as one matrix product.
+4. Each list compares its probing vectors with its stored ones, a bounded matrix product at a time. A list that is expected to be large
+   is cut into cells, its stored vectors into parts and its probing ones into crowds, so no task holds a whole hot list.
 
-The results are approximate only in that a pair that shares no list is missed; ``fit_quality`` in the tests measures recall against brute
-force. Similarities at a threshold are decided exactly, from the original vectors, where the coding error could matter.
+The results are approximate only in that a pair that shares no list is missed; the tests measure recall against brute force.
+With ``exact`` there is one list of cells for all vectors, so every pair is compared: quadratic work, for
+collections where no miss is allowed. Similarities at a threshold are decided exactly, from the original vectors, where the
+coding error could matter.
 
 Defined results
 - null ids; null, empty, wrongly long, non-finite or all-zero vectors: not usable, no rows;
@@ -35,8 +38,8 @@ LIST_SIZE = 1024
 #: Bounds of what is broadcast: centroids of at most 16,384 x 64 floats (4 MB) with their links, fitted on this many vectors.
 MAX_CENTROIDS = 16_384
 MAX_SAMPLE = 131_072
-#: A list expected to store more is split into parts; probing vectors visit every part.
-MAX_STORED = 16_384
+#: A list expected to store or be probed by more is cut into parts and crowds; each crowd visits every part.
+MAX_STORED, MAX_PROBING = 16_384, 32_768
 #: Distance ratios and numbers of lists: stored in, probed; and both for vectors with no centroid more similar than FAR.
 STORE_RATIO, STORE_MOST, PROBE_RATIO, PROBE_MOST = 1.2, 3, 1.25, 5
 FAR, FAR_STORE_MOST, FAR_PROBE_MOST = 0.42, 12, 20
@@ -113,9 +116,9 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
 class Index:
     """Centroids, their graph and the expected sizes of their lists."""
 
-    def __init__(self, sample: np.ndarray, rows: int, seed: int = 0):
+    def __init__(self, sample: np.ndarray, rows: int, seed: int = 0, exact: bool = False):
         rng = np.random.default_rng(seed)
-        k = int(min(MAX_CENTROIDS, max(1, -(-rows // LIST_SIZE)), max(1, len(sample) // 4)))
+        k = 1 if exact else int(min(MAX_CENTROIDS, max(1, -(-rows // LIST_SIZE)), max(1, len(sample) // 4)))
         x = sample.astype(np.float32)
         if k == 1:
             mean = x.mean(axis=0, keepdims=True) if len(x) else np.zeros((1, sample.shape[1] if sample.ndim > 1 else 1), np.float32)
@@ -132,12 +135,14 @@ class Index:
         self.links = _top(self.pivots @ self.centroids.T, min(n, 64))
         near = min(n, 17)
         self.near = np.concatenate([_top(self.centroids[i : i + 1024] @ self.centroids.T, near) for i in range(0, n, 1024)])[:, 1:] if n > 1 else np.zeros((1, 0), np.int64)
-        placed = np.zeros(n)
+        placed, probing = np.zeros(n), np.zeros(n)
         for i in range(0, len(x), 8192):
             _, lists, stored = self.place(x[i : i + 8192])
             placed += np.bincount(lists[stored], minlength=n)
-        expected = placed * (rows / max(1, len(x)))
-        self.parts = np.maximum(1, np.ceil(expected / MAX_STORED)).astype(np.int64)
+            probing += np.bincount(lists, minlength=n)
+        scale = rows / max(1, len(x))
+        self.parts = np.maximum(1, np.ceil(placed * scale / MAX_STORED)).astype(np.int64)
+        self.crowds = np.maximum(1, np.ceil(probing * scale / MAX_PROBING)).astype(np.int64)
 
     def search(self, q: np.ndarray, most: int = FAR_PROBE_MOST, width: int = 24, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of about the ``most`` nearest centroids of each vector, nearest first.
@@ -204,17 +209,17 @@ def _top(s: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
 
 
-def fit_index(coded: DataFrame, dim: int, rows: int, seed: int = 0) -> Index:
+def fit_index(coded: DataFrame, dim: int, rows: int, seed: int = 0, exact: bool = False) -> Index:
     """Fit on a sample of at most MAX_SAMPLE vectors, chosen by a hash of the id."""
     want = min(MAX_SAMPLE, max(16_384, 16 * min(MAX_CENTROIDS, -(-rows // LIST_SIZE))))
     share = int(min(1.0, want / max(1, rows)) * (1 << 20))
     sample = coded.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("code").limit(MAX_SAMPLE).toArrow()
     x = decode(sample.column(0), dim) if sample.num_rows else np.zeros((0, dim), np.float32)
-    return Index(x, rows, seed)
+    return Index(x, rows, seed, exact)
 
 
 def assign(reps: DataFrame, index: Index, dim: int) -> DataFrame:
-    """(list, id, stored, code): one row per list a vector probes or is stored in."""
+    """(cell, id, stored, probes, code): one row per cell in which a vector is stored or probes."""
     shared = reps.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,67 +228,78 @@ def assign(reps: DataFrame, index: Index, dim: int) -> DataFrame:
             for i in range(0, b.num_rows, 8192):
                 part = b.slice(i, 8192)
                 row, at, stored = index.place(decode(part.column(1), dim))
-                ids = part.column(0).to_numpy()
-                m = index.parts[at]
-                copies = np.where(m > 1, m, 1)
-                k = np.repeat(np.arange(len(row)), copies)
-                sub = np.arange(len(k)) - np.repeat(np.cumsum(copies) - copies, copies)
-                mine = (ids[row[k]] % m[k]) == sub
-                take = pa.array(row[k])
-                yield pa.RecordBatch.from_arrays([pa.array(at[k] * 1_000_000 + sub), part.column(0).take(take), pa.array(stored[k] & mine), part.column(1).take(take)], ["list", "id", "stored", "code"])
-
-    return reps.select("id", "code").mapInArrow(run, "list long, id long, stored boolean, code binary")
-
-
-def _blocks(table: pa.Table, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids of a block of probing rows, ids of the stored rows, similarities), a bounded matrix at a time."""
-    ids = table.column("id").to_numpy()
-    v, stored = decode(table.column("code"), dim), table.column("stored").to_numpy(zero_copy_only=False)
-    own, held = v[stored], ids[stored]
+                m, c = index.parts[at], index.crowds[at]
+                with np.errstate(over="ignore"):
+                    h = (part.column(0).to_numpy()[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                own, crowd = h % m, h // m % c
+                # first each vector probes every part with its crowd, then what is stored goes to the other crowds of its part
+                k, sub = _spread(m)
+                cells = [at[k] << 40 | sub << 20 | crowd[k]]
+                which, held, probes = [k], [stored[k] & (own[k] == sub)], [np.ones(len(k), bool)]
+                if (c > 1).any():
+                    k, other = _spread(np.where(stored, c, 0))
+                    k, other = k[other != crowd[k]], other[other != crowd[k]]
+                    cells.append(at[k] << 40 | own[k] << 20 | other)
+                    which.append(k)
+                    held.append(np.ones(len(k), bool))
+                    probes.append(np.zeros(len(k), bool))
+                cells, which, held, probes = (np.concatenate(z) for z in (cells, which, held, probes))
+                for j in range(0, len(which), 65_536):
+                    take = pa.array(row[which[j : j + 65_536]])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cells[j : j + 65_536]), part.column(0).take(take), pa.array(held[j : j + 65_536]), pa.array(probes[j : j + 65_536]), part.column(1).take(take)], ["cell", "id", "stored", "probes", "code"]
+                    )
+
+    return reps.select("id", "code").mapInArrow(run, "cell long, id long, stored boolean, probes boolean, code binary")
+
+
+def _spread(copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number of the copy) of so many copies of each row."""
+    k = np.repeat(np.arange(len(copies)), copies)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(copies) - copies, copies)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids of a block of probing rows, ids of the stored rows, similarities) of a cell, a bounded matrix at a time."""
+    table = pa.Table.from_batches(list(batches))
+    ids, v = table.column("id").to_numpy(), decode(table.column("code"), dim)
+    stored, probes = (table.column(c).to_numpy(zero_copy_only=False) for c in ("stored", "probes"))
+    own, held, asking = v[stored], ids[stored], np.flatnonzero(probes)
     if len(held):
         step = max(1, 4_000_000 // len(held))
-        for i in range(0, len(ids), step):
-            yield ids[i : i + step], held, v[i : i + step] @ own.T
+        for i in range(0, len(asking), step):
+            yield ids[asking[i : i + step]], held, v[asking[i : i + step]] @ own.T
 
 
 def similar_in_lists(assigned: DataFrame, dim: int, least: float) -> DataFrame:
-    """(a, b, s), a < b: pairs of a list with a coded similarity of at least ``least``; a pair may come from several lists."""
+    """(a, b, s), a < b: pairs of a list with a coded similarity of at least ``least``; a pair may come from several lists. Pairs leave the task block by block."""
 
-    def run(table: pa.Table) -> pa.Table:
-        a, b, s = [], [], []
-        for rows, held, sims in _blocks(table, dim):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, held, sims in _blocks(batches, dim):
             i, j = np.nonzero(sims >= least)
-            x, y = rows[i], held[j]
-            keep = x != y
-            a.append(np.minimum(x, y)[keep])
-            b.append(np.maximum(x, y)[keep])
-            s.append(sims[i, j][keep])
-        out = [np.concatenate(z) if z else np.zeros(0, t) for z, t in ((a, np.int64), (b, np.int64), (s, np.float32))]
-        return pa.table({"a": out[0], "b": out[1], "s": out[2].astype(np.float32)})
+            x, y, s = rows[i], held[j], sims[i, j]
+            keep = np.flatnonzero(x != y)
+            for k in range(0, len(keep), 100_000):
+                own = keep[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[own], y[own])), pa.array(np.maximum(x[own], y[own])), pa.array(s[own].astype(np.float32))], ["a", "b", "s"])
 
-    return assigned.groupBy("list").applyInArrow(run, "a long, b long, s float")
+    return assigned.groupBy("cell").applyInArrow(run, "a long, b long, s float")
 
 
 def nearest_in_lists(assigned: DataFrame, dim: int, k: int) -> DataFrame:
     """(id, near array<struct<id, s>>): for each probing row of a list its k most similar stored rows."""
 
-    def run(table: pa.Table) -> pa.Table:
-        who, sizes, near, value = [], [], [], []
-        for rows, held, sims in _blocks(table, dim):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, held, sims in _blocks(batches, dim):
             sims[rows[:, None] == held[None, :]] = -2
             best = _top(sims, k)
             s = np.take_along_axis(sims, best, 1)
             real = s > -1.5
-            who.append(rows)
-            sizes.append(real.sum(axis=1))
-            near.append(held[best][real])
-            value.append(s[real])
-        cat = lambda z, t: np.concatenate(z) if z else np.zeros(0, t)
-        offsets = np.concatenate([[0], np.cumsum(cat(sizes, np.int64))]).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(cat(near, np.int64)), pa.array(cat(value, np.float32).astype(np.float32))], ["id", "s"])
-        return pa.table({"id": cat(who, np.int64), "near": pa.ListArray.from_arrays(pa.array(offsets), pairs)})
+            offsets = np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(held[best][real]), pa.array(s[real].astype(np.float32))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.ListArray.from_arrays(pa.array(offsets), pairs)], ["id", "near"])
 
-    return assigned.groupBy("list").applyInArrow(run, "id long, near array<struct<id:long,s:float>>")
+    return assigned.groupBy("cell").applyInArrow(run, "id long, near array<struct<id:long,s:float>>")
 
 
 def _representatives(coded: DataFrame) -> DataFrame:
@@ -300,11 +316,11 @@ def _one_vector_each(coded: DataFrame) -> DataFrame:
     return coded.join(several, F.col("id") == F.col("_id"), "left").filter("_id IS NULL OR h = _h").drop("_id", "_h")
 
 
-def prepare(vectors: DataFrame, key: str, vector: str, dim: int, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prepare(vectors: DataFrame, key: str, vector: str, dim: int, seed: int = 0, exact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(coded, representatives, rows placed in lists)."""
     coded = _one_vector_each(materialize(usable(vectors, key, vector, dim), "coded", "none"))
     rows = coded.count()
-    index = fit_index(coded, dim, rows, seed)
+    index = fit_index(coded, dim, rows, seed, exact)
     reps = _representatives(coded)
     return coded, reps, assign(reps.select(F.col("rep").alias("id"), "code"), index, dim)
 
@@ -315,12 +331,12 @@ def copies(coded: DataFrame) -> DataFrame:
     return coded.select("id", "h").distinct().join(groups, F.col("h") == F.col("_h")).select("rep", "id")
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, least: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(pairs of representatives (a, b), members (rep, id)): all found with a cosine of at least ``least``.
+def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, least: float, seed: int = 0, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pairs of representatives (a, b), members (rep, id)): all found with a cosine of at least ``least``; with ``exact`` all there are.
 
     Pairs whose coded similarity leaves doubt are decided by the original vectors in double precision.
     """
-    coded, _, placed = prepare(vectors, key, vector, dim, seed)
+    coded, _, placed = prepare(vectors, key, vector, dim, seed, exact)
     error = code_error(dim)
     found = similar_in_lists(placed, dim, least - error).groupBy("a", "b").agg(F.max("s").alias("s"))
     pairs = materialize(found, "pairs")
@@ -340,8 +356,18 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, least: fl
     return sure.unionByName(j.filter(cosine >= least).select("a", "b")), members
 
 
-def expanded_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b), a < b, over all ids: between the copies of both representatives, and within a group of copies."""
+def expanded_pairs(pairs: DataFrame, members: DataFrame, most: int = 100_000_000) -> DataFrame:
+    """(a, b), a < b, over all ids: between the copies of both representatives, and within a group of copies.
+
+    That squares a group of copies, so the pairs are counted first; more than ``most`` are refused, as pairs of
+    representatives and their members say the same.
+    """
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+    a, b = (sizes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
+    across = pairs.join(a, "a", "left").join(b, "b", "left").agg(F.sum(F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)))).first()[0] or 0
+    within = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    if across + within > most:
+        raise ValueError(f"{across + within:.0f} pairs of copies; use the pairs of representatives and their members")
     m = members.select(F.col("rep").alias("_rep"), F.col("id").alias("_id"))
     x = pairs.join(m, F.col("a") == F.col("_rep"), "left").select(F.coalesce("_id", "a").alias("x"), "b")
     y = x.join(m, F.col("b") == F.col("_rep"), "left").select("x", F.coalesce("_id", "b").alias("y"))
@@ -349,12 +375,12 @@ def expanded_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return y.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(own.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 10, seed: int = 0) -> DataFrame:
-    """(id, rank, neighbour, similarity): the k most similar other vectors of every usable vector (about, see above).
+def nearest(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 10, seed: int = 0, exact: bool = False) -> DataFrame:
+    """(id, rank, neighbour, similarity): the k most similar other vectors of every usable vector (about, see above; with ``exact`` without a miss).
 
     Similarities are those of the coded vectors, rounded to 4 places. Copies of a vector come first in its ranking.
     """
-    coded, reps, placed = prepare(vectors, key, vector, dim, seed)
+    coded, _, placed = prepare(vectors, key, vector, dim, seed, exact)
     found = nearest_in_lists(placed, dim, k).select("id", F.explode("near").alias("n")).groupBy("id", F.col("n.id").alias("near")).agg(F.max("n.s").alias("s"))
     members = materialize(copies(coded), "copies")
     order = [F.desc("s"), F.asc("near")]

@@ -75,12 +75,13 @@ SELECT DISTINCT corpus_id, external_id, start_line, end_line FROM (
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of the oversized documents."""
-    return _pieces(spark, sf_dir).select("corpus_id", "external_id", "ordinal", "level", "start_line", "end_line", F.octet_length("text").alias("bytes"), "text")
+    return _pieces(spark, sf_dir).select("corpus_id", "external_id", "ordinal", "level", "start_line", "end_line", "repeated_lines", F.octet_length("text").alias("bytes"), "text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks whose embeddings have a cosine of at least 0.9."""
     pairs, members = neighbours.similar_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", 64, 0.9)
+    pairs = materialize(pairs, "similar")
     return neighbours.expanded_pairs(pairs, members).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 

@@ -52,6 +52,54 @@ def test_oversized_lists_are_split(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in neighbours.expanded_pairs(pairs, members).collect()} == exact(x, 0.95)[0]
 
 
+@pytest.mark.parametrize("crowd", [50, 1000])
+def test_crowds_of_probing_rows_are_split(spark, monkeypatch, crowd):
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 150)
+    monkeypatch.setattr(neighbours, "MAX_STORED", 60)
+    monkeypatch.setattr(neighbours, "MAX_PROBING", crowd)
+    x = clustered(500, 8, 6)
+    df = frame(spark, list(enumerate(x)))
+    coded, _, placed = neighbours.prepare(df, "id", "v", 8)
+    sizes = placed.groupBy("cell").agg({"id": "count"}).collect()
+    assert len(sizes) > 10 and coded.count() == len(x)
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 10_000)
+    pairs, members = neighbours.similar_pairs(df, "id", "v", 8, 0.95)
+    assert {(r["a"], r["b"]) for r in neighbours.expanded_pairs(pairs, members).collect()} == exact(x, 0.95)[0]
+
+
+def test_exact_mode(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 20)
+    monkeypatch.setattr(neighbours, "MAX_STORED", 90)
+    monkeypatch.setattr(neighbours, "MAX_PROBING", 150)
+    x = clustered(700, 8, 7)
+    df = frame(spark, list(enumerate(x)))
+    pairs, members = neighbours.similar_pairs(df, "id", "v", 8, 0.9, exact=True)
+    truth, s = exact(x, 0.9)
+    assert {(r["a"], r["b"]) for r in neighbours.expanded_pairs(pairs, members).collect()} == truth
+    np.fill_diagonal(s, -2)
+    for r in neighbours.nearest(df, "id", "v", 8, 3, exact=True).collect():
+        assert r["similarity"] >= np.sort(s[r["id"]])[-3] - 1e-3
+
+
+def test_many_near_copies(spark):
+    """A hot list: half of the vectors nearly equal."""
+    r = np.random.default_rng(8)
+    x = np.vstack([np.ones(16) + r.normal(size=(20_000, 16)) * 1e-3, r.normal(size=(20_000, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<float>").repartition(8)
+    coded, _, placed = neighbours.prepare(df, "id", "v", 16)
+    biggest = placed.groupBy("cell").count().agg({"count": "max"}).first()[0]
+    assert biggest <= 1.5 * (neighbours.MAX_STORED + neighbours.MAX_PROBING)
+    assert neighbours.nearest(df, "id", "v", 16, 2).count() == 2 * len(x)
+
+
+def test_too_many_pairs_of_copies_are_refused(spark):
+    df = frame(spark, [(i, np.eye(8)[0]) for i in range(100)])
+    pairs, members = neighbours.similar_pairs(df, "id", "v", 8, 0.9)
+    with pytest.raises(ValueError):
+        neighbours.expanded_pairs(pairs, members, 1000)
+    assert members.count() == 100 and rows(pairs) == []
+
+
 def test_copies_and_unusable(spark):
     x = np.random.default_rng(3).normal(size=(60, 8)).astype(np.float32)
     hot = [(1000 + i, x[0]) for i in range(200)]
