@@ -11,7 +11,8 @@ Defined results
 - null or empty texts: not drawn; null or unknown sources: not drawn, and not part of the total;
 - spellings of a source (blanks and tabs around it, upper case) are one source; several target rows of one: the greatest share and cap;
 - null targets count as 0, null or negative caps as 0; a source without documents has size 0 and draws nothing;
-- null, non-finite or non-positive weights: the least weight; ties in the key: by id, then size;
+- weights of any scale: only their ratios within a source count; null, non-finite or tiny ones: the least share of the source's greatest;
+- ties in the key: by id, then size;
 - repeated rows: each row is a document; empty tables: a report of zeros, no draws; extra columns: ignored.
 """
 
@@ -35,17 +36,29 @@ def canonical_source(c: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """A weight in [LEAST_WEIGHT, 1] from the share of letters in the text and from its length (short texts weigh less)."""
-    length = F.length(text)
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    return F.greatest(F.lit(LEAST_WEIGHT), letters / length * F.least(F.lit(1.0), F.lit(0.5) + length / F.lit(400.0)))
+    """A weight in [LEAST_WEIGHT, 1] for running text of varied words; boilerplate, encoded data and fragments weigh less.
+
+    The product of five signs, each from 0 to 1: the share of letters and blanks; words of a usual length (3 to 12 letters on average, or a
+    script without blanks); varied words (distinct over all, against what a text of that length usually has); few repeated lines; enough
+    words to say something. All are expressions of the JVM over one split of the text.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: F.trim(x) != "")
+    n, letters = F.size(words), F.length(F.regexp_replace(text, r"[^\p{L}\p{M}\s]+", ""))
+    unspaced = F.length(F.regexp_replace(text, r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+", "")) * 2 > letters
+    clipped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    mean = letters / F.greatest(n, F.lit(1))
+    usual = F.when(unspaced, 1.0).otherwise(clipped((mean - 1) / 2) * clipped((F.lit(30.0) - mean) / 18))
+    varied = F.when(unspaced, 1.0).otherwise(clipped(F.size(F.array_distinct(words)) / F.pow(F.greatest(n, F.lit(1)).cast("double"), 0.75)))
+    repeated = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+    enough = clipped(F.lit(0.4) + F.length(text) / F.lit(500.0))
+    return F.greatest(F.lit(LEAST_WEIGHT), clipped(letters / F.length(text)) * usual * varied * repeated * enough)
 
 
 def sampling_key(identity: Column, weight: Column, seed: int) -> Column:
-    """-ln(u) / weight, with u in (0, 1) from a hash of the id: the same draw on every run and every cluster."""
+    """-ln(u) / weight, with u in (0, 1) from a hash of the id: the same draw on every run and every cluster. ``weight`` is at most 1."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), identity), 11).cast("double") + 0.5) / float(1 << 53)
-    good = F.when(weight.isNull() | F.isnan(weight) | (weight < LEAST_WEIGHT), LEAST_WEIGHT).otherwise(F.least(weight, F.lit(1.0)))
-    return -F.log(u) / good
+    return -F.log(u) / F.when(weight.isNull() | F.isnan(weight) | (weight < LEAST_WEIGHT) | (weight > 1), LEAST_WEIGHT).otherwise(weight)
 
 
 def clean_targets(targets: DataFrame) -> DataFrame:
@@ -55,12 +68,14 @@ def clean_targets(targets: DataFrame) -> DataFrame:
 
 
 def plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target source: size, total, budget, epochs (whole ones), rest (budget of the fractional draw), short.
+    """One row per target source: size, total, budget, epochs (whole ones), rest (budget of the fractional draw), short; greatest
+    is the source's greatest weight.
 
-    ``documents`` has (source, size). A source is short if all its permitted epochs stay under its budget.
+    ``documents`` has (source, size) and may have a weight. A source is short if all its permitted epochs stay under its budget.
     """
-    sizes = documents.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("_size"))
-    t = clean_targets(targets).join(sizes, F.col("source") == F.col("_s"), "left").select("source", "target_share", "max_repeats", F.coalesce("_size", F.lit(0)).alias("size"))
+    usable = F.when(~F.isnan("weight") & (F.col("weight") < float("inf")), F.col("weight")) if "weight" in documents.columns else F.lit(1.0)
+    sizes = documents.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("_size"), F.max(usable).alias("greatest"))
+    t = clean_targets(targets).join(sizes, F.col("source") == F.col("_s"), "left").select("source", "target_share", "max_repeats", F.coalesce("_size", F.lit(0)).alias("size"), F.when(F.col("greatest") > 0, F.col("greatest")).otherwise(1.0).alias("greatest"))
     total = t.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     p = t.crossJoin(F.broadcast(total)).withColumn("budget", F.col("target_share") * F.col("total"))
     whole = F.when(F.col("size") > 0, F.least(F.floor(F.col("budget") / F.col("size")), F.col("max_repeats"))).otherwise(0).cast("long")
@@ -86,16 +101,16 @@ def draw(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataF
     """
     docs = materialize(documents, "sized")
     p = materialize(plan(docs, targets), "plan")
-    budgets = p.select(F.col("source").alias("_t"), "epochs", "rest", "max_repeats")
+    budgets = p.select(F.col("source").alias("_t"), "epochs", "rest", "max_repeats", "greatest")
     known = docs.join(F.broadcast(budgets) if p.count() <= BROADCAST_SOURCES else budgets, F.col("source") == F.col("_t")).drop("_t")
-    keyed = known.withColumn("key", sampling_key(F.col("id"), F.col("weight"), seed))
+    keyed = known.withColumn("key", sampling_key(F.col("id"), F.col("weight") / F.col("greatest"), seed))
     bucket = F.floor(_BUCKETS * (1 - F.exp(-F.col("key") / 2)))
     summed = positions(keyed, ["source"], bucket, [F.asc("key"), F.asc("id"), F.asc("size")], weight="size", running="until")
     copies = F.col("epochs") + F.when(F.col("until") <= F.col("rest"), 1).otherwise(0)
     taken = summed.withColumn("copies", copies.cast("int")).filter("copies > 0")
     draws = taken.select("source", "id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch"), "size")
     drawn = taken.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("size") * F.col("copies")).alias("_drawn"))
-    report = p.join(drawn, F.col("source") == F.col("_s"), "left").withColumn("drawn", F.coalesce("_drawn", F.lit(0))).drop("_s", "_drawn")
+    report = p.join(drawn, F.col("source") == F.col("_s"), "left").withColumn("drawn", F.coalesce("_drawn", F.lit(0))).drop("_s", "_drawn", "greatest")
     all_drawn = report.agg(F.sum("drawn").alias("_all"))
     report = report.crossJoin(F.broadcast(all_drawn)).withColumn("share", F.when(F.col("_all") > 0, F.col("drawn") / F.col("_all")).otherwise(0.0)).drop("_all")
     return draws, report

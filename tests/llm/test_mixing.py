@@ -68,3 +68,17 @@ def test_sized(spark):
     got = mixing.sized(df, "doc_id", "text", "source", F.length("text"))
     assert rows(got.select("id", "source", "size")) == [(1, "wiki", 9), (5, "wiki", 2), (6, "wiki", 300_000)]
     assert all(mixing.LEAST_WEIGHT <= r["weight"] <= 1 for r in got.collect())
+
+
+def test_only_ratios_of_weights_count(spark):
+    r = random.Random(2)
+    docs = [(i, "a", 1, r.random()) for i in range(2000)]
+    draws = [{x["id"] for x in drawn(spark, [(i, s, n, w * scale) for i, s, n, w in docs], [("a", 0.3, 1)])[0]} for scale in (1, 1024, 1 / 1024)]
+    assert draws[0] == draws[1] == draws[2] and len(draws[0]) == 600
+
+
+def test_quality_weight(spark):
+    prose = "The keeper of the harbour writes down every ship that passes, its flag, its cargo and the weather of the day. " * 2 + "Nobody reads the book until winter comes and somebody asks when the red schooner left."
+    texts = [prose, "spam spam spam spam " * 20, "iVBORw0KGgoAAAANSUhEUgAA" * 20, "1 2 3 4 5 6 7 8 9 " * 20, "ok", "同じ文書を保存する前に、検索と要約の違いを週末までに調べる必要がある。" * 3, " \n\t"]
+    got = [x["w"] for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", mixing.quality_weight(F.col("t")).alias("w")).orderBy("i").collect()]
+    assert got[0] > 0.7 and got[5] > 0.4 and max(got[1:5]) < 0.4 and all(mixing.LEAST_WEIGHT <= w <= 1 for w in got)
