@@ -74,7 +74,7 @@ def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir, dense_too=False)
     q = queries_of(c)
     terms = lexical.query_terms(q, "query_id", "text", PLAIN)
-    found = lexical.top(lexical.scores(c.index, terms), K)
+    found = lexical.search_terms(c.index, terms, K)
     return lexical.coverage(c.index, terms, found).select("query_id", F.col("chunk_key").alias("chunk_id"), F.round("coverage", 6).alias("coverage"))
 
 
