@@ -381,7 +381,9 @@ def nearest(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 10, se
     Similarities are those of the coded vectors, rounded to 4 places. Copies of a vector come first in its ranking.
     """
     coded, _, placed = prepare(vectors, key, vector, dim, seed, exact)
-    found = nearest_in_lists(placed, dim, k).select("id", F.explode("near").alias("n")).groupBy("id", F.col("n.id").alias("near")).agg(F.max("n.s").alias("s"))
+    # one shuffle by id carries the lists of neighbours; what follows is keyed by id and shares it
+    lists = nearest_in_lists(placed, dim, k).repartition("id")
+    found = lists.select("id", F.explode("near").alias("n")).groupBy("id", F.col("n.id").alias("near")).agg(F.max("n.s").alias("s"))
     members = materialize(copies(coded), "copies")
     order = [F.desc("s"), F.asc("near")]
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter(F.col("r") <= k).drop("r")
