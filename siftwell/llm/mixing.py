@@ -42,16 +42,17 @@ def quality_weight(text: Column) -> Column:
     script without blanks); varied words (distinct over all, against what a text of that length usually has); few repeated lines; enough
     words to say something. All are expressions of the JVM over one split of the text.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: F.trim(x) != "")
-    n, letters = F.size(words), F.length(F.regexp_replace(text, r"[^\p{L}\p{M}\s]+", ""))
-    unspaced = F.length(F.regexp_replace(text, r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+", "")) * 2 > letters
+    words = F.filter(F.split(text, r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    lines = F.split(text, "\n")
+    n = F.size(words)
+    letters = F.length(F.array_join(words, "")) + n
+    unspaced = F.octet_length(text) > F.lit(2.5) * F.length(text)  # scripts of three bytes a letter
     clipped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     mean = letters / F.greatest(n, F.lit(1))
     usual = F.when(unspaced, 1.0).otherwise(clipped((mean - 1) / 2) * clipped((F.lit(30.0) - mean) / 18))
     varied = F.when(unspaced, 1.0).otherwise(clipped(F.size(F.array_distinct(words)) / F.pow(F.greatest(n, F.lit(1)).cast("double"), 0.75)))
     repeated = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
-    enough = clipped(F.lit(0.4) + F.length(text) / F.lit(500.0))
+    enough = clipped(F.lit(0.3) + F.length(text) / F.lit(500.0))
     return F.greatest(F.lit(LEAST_WEIGHT), clipped(letters / F.length(text)) * usual * varied * repeated * enough)
 
 
