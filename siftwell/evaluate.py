@@ -52,15 +52,13 @@ def run_dense(spark: SparkSession, rows: int = 25_000, dimension: int = 384, que
     out = {}
     for name, vectors in (("all", v), ("filtered", subset)):
         exact, seconds = _timed(dense.batch_search(vectors, q, k, dimension))
-        lists = dense.InvertedLists.fit(vectors, dimension, 256)
-        probes = max(1, min(64, len(lists.centroids) // 4))
+        lists = {name: dense.InvertedLists.fit(vectors, dimension, 256, codec=codec) for name, codec in dense.CODECS.items()}
+        probes = max(1, min(64, len(lists["ivf"].centroids) // 4))
         paths = {
             "exact": exact,
-            "ivf": lists.search(q, k, probes),
-            "ivf_sq8": lists.search(q, k, probes, "sq8"),
-            "ivf_pq": lists.search(q, k, probes, "pq", dense.sampled_quantizer(vectors, dimension)),
+            **{name: built.search(q, k, probes) for name, built in lists.items()},
             "ivf_default": dense.ListIndex(vectors, dimension).search(q, k),
-            "ivf_exhaustive": lists.search(q, k, 256),
+            "ivf_exhaustive": lists["ivf"].search(q, k, 256),
             "sq8": dense.coarse_then_exact(vectors, q, k, dimension, "sq8"),
         }
         for path, found in paths.items():

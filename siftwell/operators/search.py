@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.errors import MAX_TOP_K, EngineError
@@ -54,6 +54,7 @@ class Corpus:
     index: lexical.LexicalIndex
     vectors: DataFrame | None = None  # key, vector
     dimension: int = 0
+    dense: dense.DenseIndex | None = None  # the access path of unfiltered dense searches; without one they are exact
 
     def allowed(self, wanted: MetadataFilter | Column | None) -> Column | None:
         """A filter as a condition on ``chunks``; any boolean Column over them is a filter too."""
@@ -79,10 +80,14 @@ def candidates(corpus: Corpus, queries: DataFrame, mode: str, k: int, wanted: Me
     if mode in ("hybrid", "dense"):
         if corpus.vectors is None:
             raise EngineError("unsupported", "the corpus has no vectors")
-        vectors = corpus.vectors
-        if allowed is not None:
-            vectors = vectors.join(corpus.chunks.filter(allowed).select("chunk_key"), F.col("key") == F.col("chunk_key"), "left_semi")
-        found = dense.batch_search(vectors, queries.filter("vector IS NOT NULL"), k, corpus.dimension)
+        asking = queries.filter("vector IS NOT NULL")
+        if allowed is None and corpus.dense is not None:
+            found = corpus.dense.search(asking, k)
+        else:
+            vectors = corpus.vectors
+            if allowed is not None:  # among few allowed vectors lists would miss some: filtered searches are exact
+                vectors = vectors.join(corpus.chunks.filter(allowed).select("chunk_key"), F.col("key") == F.col("chunk_key"), "left_semi")
+            found = dense.batch_search(vectors, asking, k, corpus.dimension)
         lists.append((found.withColumnRenamed("key", "chunk_key"), profile.dense_weight))
     if mode != "hybrid":
         return lists[0][0]
@@ -90,7 +95,7 @@ def candidates(corpus: Corpus, queries: DataFrame, mode: str, k: int, wanted: Me
 
 
 def reranked(corpus: Corpus, queries: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates with the coverage of the query's terms blended in. Terms of candidates are looked up in the index, texts are not tokenised again."""
+    """Candidates with the coverage of the query's terms blended in. Terms of candidates are looked up in the index."""
     terms = lexical.query_terms(queries, "query_id", "text", corpus.index.options)
     share = lexical.coverage(corpus.index, terms, found)
     j = found.drop("rank").join(share, ["query_id", "chunk_key"], "left")
@@ -99,12 +104,16 @@ def reranked(corpus: Corpus, queries: DataFrame, found: DataFrame) -> DataFrame:
 
 def diversified(corpus: Corpus, found: DataFrame, k: int, profile: Profile) -> DataFrame:
     """MMR to k, then stitching; the result may have fewer than k rows."""
-    lines = corpus.chunks.select("chunk_key", "document_id", "document_revision", "start_line", "end_line", tokens(F.col("text"), drop_stopwords=corpus.index.options.drop_stopwords).alias("terms"))
+    lines = corpus.chunks.select("chunk_key", "document_id", "document_revision", "start_line", "end_line", F.col("text").alias("_text"))
     rows = found.join(lines, "chunk_key")
     if corpus.vectors is not None:
         rows = rows.join(corpus.vectors.select(F.col("key").alias("chunk_key"), F.col("vector").alias("embedding")), "chunk_key", "left")
     else:
         rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+    # terms are only needed by queries of which some candidate has no vector, and only candidates are tokenised
+    bare = F.max(F.col("embedding").isNull()).over(Window.partitionBy("query_id"))
+    terms = F.when(F.col("_bare"), tokens(F.col("_text"), drop_stopwords=corpus.index.options.drop_stopwords))
+    rows = rows.withColumn("_bare", bare).withColumn("terms", terms).drop("_text", "_bare")
     return fusion.stitch(fusion.mmr(rows, k, profile.lam), profile.max_gap).select("query_id", "chunk_key", "score", "rank")
 
 
@@ -130,9 +139,11 @@ def search(corpus: Corpus, queries: DataFrame, mode: str = "hybrid", top_k: int
 
 
 def resolved(corpus: Corpus, found: DataFrame) -> DataFrame:
-    """Hits with what is cited of their chunks."""
+    """Hits with what is cited of their chunks. A hit whose chunk is gone is an error, not a missing row: the index and the chunks would be of different generations."""
     cited = [c for c in ("document_id", "document_revision", "title", "metadata", "start_line", "end_line", "text", "context") if c in corpus.chunks.columns]
-    return found.join(corpus.chunks.select("chunk_key", *cited), "chunk_key").select("query_id", "rank", "score", "chunk_key", *cited)
+    j = found.join(corpus.chunks.select(F.col("chunk_key").alias("_k"), *cited), F.col("chunk_key") == F.col("_k"), "left")
+    known = F.when(F.col("_k").isNull(), F.raise_error(F.concat(F.lit("corrupt_index: unknown chunk "), F.col("chunk_key").cast("string")))).otherwise(F.col("chunk_key"))
+    return j.select("query_id", "rank", "score", known.alias("chunk_key"), *cited)
 
 
 # --- pipelines of stages ---

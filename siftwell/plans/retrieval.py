@@ -133,19 +133,13 @@ def vector_norm_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sq8_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8-bit products of every vector with the query vectors, the ten best."""
     v, q = _embeddings(spark, sf_dir)
-    a = v.select("key", vectors.quantize_sq8(F.col("vector")).alias("a"))
-    b = q.select("query_id", vectors.quantize_sq8(F.col("vector")).alias("b"))
-    scored = a.crossJoin(b).select("query_id", "key", F.round(vectors.dot_sq8(F.col("a"), F.col("b")), 9).alias("score"))
-    return _shown(lexical.top(scored, K, "key"))
+    return _shown(dense.coded_products(v, q, K, DIM, "sq8"))
 
 
 def sign_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary similarity 1 - 2 h / dimension with the query vectors, the ten best."""
     v, q = _embeddings(spark, sf_dir)
-    a = v.select("key", vectors.sign_words(F.col("vector"), DIM).alias("a"))
-    b = q.select("query_id", vectors.sign_words(F.col("vector"), DIM).alias("b"))
-    scored = a.crossJoin(b).select("query_id", "key", (1 - 2 * vectors.hamming(F.col("a"), F.col("b")) / DIM).alias("score"))
-    return _shown(lexical.top(scored, K, "key"))
+    return _shown(dense.coded_products(v, q, K, DIM, "signs"))
 
 
 def matryoshka_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +150,21 @@ def matryoshka_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines by Column functions, of every vector with the query vectors."""
+    """Cosines of every vector with the query vectors, the ten best."""
     v, q = _embeddings(spark, sf_dir)
-    scored = v.crossJoin(q.withColumnRenamed("vector", "b")).select("query_id", "key", vectors.cosine(F.col("vector"), F.col("b")).alias("score"))
-    return _shown(lexical.top(scored, K, "key"))
+    return _shown(dense.coded_products(v, q, K, DIM, "cosine"))
+
+
+def vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Column functions on each vector and its reverse: product, cosine, 8-bit product, sign similarity, text form and back, unit length."""
+    v, _ = _embeddings(spark, sf_dir)
+    a, b = F.col("vector"), F.reverse("vector")
+    words = lambda x: vectors.sign_words(x, DIM)
+    back = vectors.parsed_vector(vectors.vector_text(a))
+    return v.select(
+        F.col("key").alias("vec_id"), F.round(vectors.dot(a, b), 6).alias("dot"), F.round(vectors.cosine(a, b), 6).alias("cosine"), F.round(vectors.dot_sq8(vectors.quantize_sq8(a), vectors.quantize_sq8(b)), 9).alias("sq8"),
+        (1 - 2 * vectors.hamming(words(a), words(b)) / DIM).alias("signs"), (back == a).alias("text_round_trip"), F.round(vectors.norm(vectors.normalized(F.transform(a, lambda x: x * 3))), 6).alias("unit"),
+    )
 
 
 _E = "e AS (SELECT DISTINCT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -193,9 +198,8 @@ def _rescored(spark: SparkSession, sf_dir: str, coarse: str, **options) -> DataF
     v = dense.usable_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", DIM)
     q = v.filter("key % 20 = 0").select(F.col("key").alias("query_id"), "vector")
     if coarse == "pq":
-        sample = v.orderBy(F.xxhash64("key"), "key").limit(16_384).select("vector").toArrow().column(0).combine_chunks()
-        m = dense.matrix(sample.chunk(0) if hasattr(sample, "chunks") else sample, DIM)[1]
-        options["quantizer"] = dense.ProductQuantizer.fit(m, 8, 64, 10) if len(m) else None
+        v = materialize(v, "vectors")
+        options["quantizer"] = dense.sampled_quantizer(v, DIM)
     return _shown(dense.coarse_then_exact(v, q, K, DIM, coarse, **options))
 
 
@@ -216,28 +220,13 @@ def pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of even ids as base, those divisible by 3 as delta, those divisible by 7 deleted."""
-    v, q = _embeddings(spark, sf_dir)
-    base, delta, gone = v.filter("key % 2 = 0"), v.filter("key % 3 = 0"), v.filter("key % 7 = 0")
-    return _shown(dense.batch_search(dense.tiered(base, delta, gone), q, K, DIM))
-
-
-def tiered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by searching base and delta apart and merging their candidates."""
-    v, q = _embeddings(spark, sf_dir)
-    kept = v.filter("key % 7 <> 0")
-    a, b = (dense.batch_search(t, q, K, DIM) for t in (kept.filter("key % 2 = 0 AND key % 3 <> 0"), kept.filter("key % 3 = 0")))
-    return _shown(dense.merged_candidates(a, b, k=K))
-
-
-def tiered_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector in a tier: ids divisible by 3 as delta, the others as base, which also has outdated vectors of the ids divisible by 6; those divisible by 7 deleted."""
     v, q = _embeddings(spark, sf_dir)
     base = v.filter("key % 3 <> 0").unionByName(v.filter("key % 6 = 0").withColumn("vector", F.reverse("vector")))
     return _shown(dense.batch_search(dense.tiered(base, v.filter("key % 3 = 0"), v.filter("key % 7 = 0")), q, K, DIM))
 
 
-def tiered_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tiered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by searching base and delta apart and merging their candidates."""
     v, q = _embeddings(spark, sf_dir)
     kept = v.filter("key % 7 <> 0")
@@ -245,13 +234,13 @@ def tiered_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(dense.merged_candidates(a, b, k=K))
 
 
-def ann_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ann_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and overlap at ten of the access paths against the exact search: 16 of at most 64 lists, with each codec, and the lists of ``build_index`` as they are by default."""
     v = materialize(dense.usable_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", DIM), "vectors")
     q = materialize(v.filter("key % 20 = 0").select(F.col("key").alias("query_id"), "vector"), "queries")
     exact = materialize(dense.batch_search(v, q, K, DIM), "exact")
-    lists = dense.InvertedLists.fit(v, DIM, 64)
-    paths = {"exact": exact, "ivf": lists.search(q, K, 16), "ivf_sq8": lists.search(q, K, 16, "sq8"), "ivf_pq": lists.search(q, K, 16, "pq", dense.sampled_quantizer(v, DIM)), "ivf_default": dense.ListIndex(v, DIM).search(q, K)}
+    paths = {"exact": exact} | {name: dense.InvertedLists.fit(v, DIM, 64, codec=codec).search(q, K, 16) for name, codec in dense.CODECS.items()}
+    paths["ivf_default"] = dense.ListIndex(v, DIM).search(q, K)
     rows = None
     for name, found in paths.items():
         one = evaluation.overlap(found, exact, K).select(F.lit(name).alias("path"), "queries", "recall", "overlap", F.lit(evaluation.GATES[name.removesuffix("_default")]).alias("gate"))
@@ -259,6 +248,21 @@ def ann_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def ann_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each access path reaches its gate."""
+    return ann_figures(spark, sf_dir).select("path", (F.col("recall") >= F.col("gate")).alias("reached"))
+
+
+def hybrid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search with the dense half through inverted lists, as large corpora get it: whether it finds what the exact one does, at nine tenths or more."""
+    c = corpus(spark, sf_dir)
+    q = materialize(queries_of(c), "queries")
+    exact = materialize(search.search(c, q, "hybrid", K).select("query_id", F.col("chunk_key").alias("key"), "rank"), "exact")
+    c.dense = dense.ListIndex(c.vectors, DIM, 64)
+    found = search.search(c, q, "hybrid", K).select("query_id", F.col("chunk_key").alias("key"), "rank")
+    return evaluation.overlap(found, exact, K).select("queries", (F.col("overlap") >= 0.9).alias("reached"))
+
+
 # --- fusion and search ---
 
 
@@ -365,12 +369,12 @@ def filter_empty_matches_none(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter of its own for every tenant, carried as a map column."""
-    c = chunk_rows(spark, sf_dir).select("chunk_id", "metadata")
-    tenants = materialize(c.select(F.col("metadata")["tenant"].alias("tenant")).filter("tenant IS NOT NULL").distinct(), "tenants")
+    """A filter of its own for every tenant, carried as a map column and met through an equi-join on the tenant."""
+    c = chunk_rows(spark, sf_dir).select("chunk_id", "metadata", F.col("metadata")["tenant"].alias("_t"))
+    tenants = c.select(F.col("_t").alias("tenant")).filter("tenant IS NOT NULL").distinct()
     wanted = tenants.select("tenant", F.create_map(F.lit("tenant"), F.array("tenant"), F.lit("visibility"), F.array(F.lit("team"), F.lit("open"))).alias("wanted"))
-    small = F.broadcast(wanted) if wanted.count() <= 1000 else wanted
-    return c.crossJoin(small).filter(filters.matches_row(F.col("metadata"), F.col("wanted"))).groupBy("tenant").agg(F.count("*").alias("chunks"))
+    met = c.join(wanted, F.col("_t") == F.col("tenant")).filter(filters.matches_row(F.col("metadata"), F.col("wanted")))
+    return met.groupBy("tenant").agg(F.count("*").alias("chunks"))
 
 
 _RRF = _BM25.format(where="") + ", " + _CHUNK_DENSE + ", u AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS p FROM lex WHERE rank <= 60 UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM den WHERE rank <= 60), fs AS (SELECT query_id, chunk_id, round(sum(p), 12) AS score FROM u GROUP BY ALL), fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fs)"
@@ -385,13 +389,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexical_bm25_topk, lexical_bm25_filtered, porter_bm25, lexical_qtf_weighting, term_coverage, dense_exact_topk, dense_filtered_topk, dense_batch_topk, vector_norm_check, sq8_dot, sign_hamming,
-        matryoshka_topk, cosine_scores, ivf_topk, ivf_exhaustive, sq8_rescored_topk, signs_rescored_topk, prefix_rescored_topk, pq_topk, tiered_merge, tiered_candidates, tiered_merge_all, tiered_candidates_all, ann_gates, rrf_fusion, feature_rerank,
+        matryoshka_topk, cosine_scores, vector_columns, ivf_topk, ivf_exhaustive, sq8_rescored_topk, signs_rescored_topk, prefix_rescored_topk, pq_topk, tiered_merge, tiered_candidates, ann_gates, ann_figures, hybrid_lists, rrf_fusion, feature_rerank,
         hybrid_search, hybrid_filtered, quality_search, lexical_search_service, mmr_diversify, stitch_adjacent, pipeline_presets, context_packing, jaccard_pairs, filter_any_of, filter_empty_matches_none, filter_per_query,
     )
 }
+VECTOR_COLUMNS_SQL = (
+    "WITH " + _E + ", p AS (SELECT vec_id, v, list_reverse(v) AS w FROM e) SELECT vec_id, round(list_dot_product(v, w), 6) AS dot, round(list_dot_product(v, w) / list_dot_product(v, v), 6) AS cosine, "
+    + "round(list_dot_product(list_transform(v, lambda x: trunc(greatest(least(x * 127, 127), -127) + sign(x) * 0.5)), list_transform(w, lambda x: trunc(greatest(least(x * 127, 127), -127) + sign(x) * 0.5))) / 16129.0, 9) AS sq8, "
+    + "1 - 2 * list_sum(list_transform(list_zip(v, w), lambda z: ((z[1] >= 0) <> (z[2] >= 0))::INTEGER)) / 64 AS signs, true AS text_round_trip, 1.0::DOUBLE AS unit FROM p"
+)
 _EXACT = _DENSE.format(score="list_dot_product(a.v, q.v)", where="")
-_TIERED = _DENSE.format(score="list_dot_product(a.v, q.v)", where="WHERE (a.vec_id % 2 = 0 OR a.vec_id % 3 = 0) AND a.vec_id % 7 <> 0")
-_TIERED_ALL = _DENSE.format(score="list_dot_product(a.v, q.v)", where="WHERE a.vec_id % 7 <> 0")
+_TIERED = _DENSE.format(score="list_dot_product(a.v, q.v)", where="WHERE a.vec_id % 7 <> 0")
 ORACLE = {
     "lexical_bm25_topk": BM25_SQL,
     "lexical_bm25_filtered": BM25_FILTERED_SQL,
@@ -408,8 +416,9 @@ ORACLE = {
     "cosine_scores": _DENSE.format(score="list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(q.v, q.v)))", where=""),
     "tiered_merge": _TIERED,
     "tiered_candidates": _TIERED,
-    "tiered_merge_all": _TIERED_ALL,
-    "tiered_candidates_all": _TIERED_ALL,
+    "ann_gates": "SELECT unnest(['exact', 'ivf', 'ivf_sq8', 'ivf_pq', 'ivf_default']) AS path, true AS reached",
+    "hybrid_lists": "SELECT count(DISTINCT chunk_id) AS queries, true AS reached FROM chunks WHERE chunk_id % 20 = 0",
+    "vector_columns": VECTOR_COLUMNS_SQL,
     "rrf_fusion": _RRF + " SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM fu WHERE rank <= 10",
     "feature_rerank": _BM25.format(where="") + _RERANK.format("lex") + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fin WHERE rank <= 10",
     "hybrid_search": _RRF + _RERANK.format("fu") + _HYBRID_OUT,

@@ -86,25 +86,12 @@ SELECT coalesce(a.shard, b.shard) AS shard, a.n AS source_documents, b.n AS repl
 
 
 def reconcile_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What forbids resuming a copy of corpus 3: extra, conflicting or skipped documents in the replica."""
-    side = lambda t: table(spark, sf_dir, t).filter("corpus_id = 3").select("external_id", "revision", "content_hash").distinct()
-    return migration.reconcile(side("corpus_documents"), side("replica_documents"), "external_id", ["revision", "content_hash"])
-
-
-RECONCILE_SQL = """
-WITH s AS (SELECT DISTINCT external_id, revision, content_hash FROM corpus_documents WHERE corpus_id = 3), d AS (SELECT DISTINCT external_id, revision, content_hash FROM replica_documents WHERE corpus_id = 3), l AS (SELECT max(external_id) AS last FROM d),
-j AS (SELECT s.external_id AS a, d.external_id AS b, s.revision IS DISTINCT FROM d.revision OR s.content_hash IS DISTINCT FROM d.content_hash AS x FROM s FULL JOIN d ON s.external_id = d.external_id)
-SELECT coalesce(a, b) AS external_id, CASE WHEN a IS NULL THEN 'extra' WHEN b IS NULL THEN 'gap' ELSE 'conflicting' END AS problem FROM j CROSS JOIN l WHERE a IS NULL OR (b IS NULL AND a <= last) OR (b IS NOT NULL AND x)
-"""
-
-
-def reconcile_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every corpus, each up to its own last key in the replica."""
+    """What forbids resuming a copy: extra, conflicting or skipped documents in the replica, each corpus up to its own last key there."""
     side = lambda t: table(spark, sf_dir, t).select(*KEYS, "revision", "content_hash").distinct()
     return migration.reconcile(side("corpus_documents"), side("replica_documents"), "external_id", ["revision", "content_hash"], ["corpus_id"])
 
 
-RECONCILE_CORPORA_SQL = """
+RECONCILE_SQL = """
 WITH s AS (SELECT DISTINCT corpus_id, external_id, revision, content_hash FROM corpus_documents), d AS (SELECT DISTINCT corpus_id, external_id, revision, content_hash FROM replica_documents), l AS (SELECT corpus_id, max(external_id) AS last FROM d GROUP BY 1),
 j AS (SELECT coalesce(s.corpus_id, d.corpus_id) AS corpus_id, s.external_id AS a, d.external_id AS b, s.revision IS DISTINCT FROM d.revision OR s.content_hash IS DISTINCT FROM d.content_hash AS x FROM s FULL JOIN d ON s.corpus_id = d.corpus_id AND s.external_id = d.external_id)
 SELECT corpus_id, coalesce(a, b) AS external_id, CASE WHEN a IS NULL THEN 'extra' WHEN b IS NULL THEN 'gap' ELSE 'conflicting' END AS problem FROM j LEFT JOIN l USING (corpus_id) WHERE a IS NULL OR (b IS NULL AND a <= last) OR (b IS NOT NULL AND x)
@@ -214,7 +201,7 @@ def synthetic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_revision, active_after_erase, stale_revisions, job_latest_snapshot, job_recovery, job_retention, corpus_stats, corpus_audit, reconcile_diff, reconcile_corpora, keyset_batch, qrels_metrics, latency_percentiles,
+        latest_revision, active_after_erase, stale_revisions, job_latest_snapshot, job_recovery, job_retention, corpus_stats, corpus_audit, reconcile_diff, keyset_batch, qrels_metrics, latency_percentiles,
         chunk_fetch_ordinal, store_lifecycle, store_statistics, stream_ingest, migrate_store, synthetic_vectors,
     )
 }
@@ -238,7 +225,6 @@ SELECT status, CASE WHEN status = 'ready' AND r = 1 THEN CASE WHEN lower(trim(op
     "corpus_stats": "WITH c AS (SELECT DISTINCT ON (chunk_id) * FROM chunks) SELECT corpus_id, count(DISTINCT document_id) AS documents, count(*) AS chunks, sum(CASE WHEN len(embedding) = 64 THEN 256 ELSE 0 END)::BIGINT AS dense_bytes, round(avg(token_count), 6) AS average_tokens FROM c GROUP BY 1",
     "corpus_audit": AUDIT_SQL,
     "reconcile_diff": RECONCILE_SQL,
-    "reconcile_corpora": RECONCILE_CORPORA_SQL,
     "keyset_batch": "SELECT DISTINCT lpad(corpus_id::VARCHAR, 4, '0') || '/' || external_id AS doc_key FROM corpus_documents WHERE lpad(corpus_id::VARCHAR, 4, '0') || '/' || external_id > '0003/' ORDER BY 1 LIMIT 256",
     "qrels_metrics": _LEX3 + " SELECT query_id, round(count(rank)::DOUBLE, 6) AS recall, round(coalesce(1.0 / min(rank), 0), 6) AS mrr, round(coalesce(sum(1 / log2(rank + 1)), 0), 6) AS ndcg FROM h GROUP BY query_id",
     "latency_percentiles": _LATEST + " SELECT status, round(quantile_cont((updated_at_ms - created_at_ms)::DOUBLE, 0.5), 4) AS p50, round(quantile_cont((updated_at_ms - created_at_ms)::DOUBLE, 0.95), 4) AS p95, round(quantile_cont((updated_at_ms - created_at_ms)::DOUBLE, 0.99), 4) AS p99 FROM j GROUP BY 1",

@@ -19,7 +19,7 @@ def test_runs(name, spark):
 
 
 def test_ann_gates(spark):
-    for r in QUERIES["ann_gates"](spark, "/root/testdata/sf0.01").collect():
+    for r in QUERIES["ann_figures"](spark, "/root/testdata/sf0.01").collect():
         assert r["recall"] >= r["gate"]
 
 
@@ -32,11 +32,11 @@ def test_pools_of_the_profiles(spark, monkeypatch, name, pools):
 
 
 def test_reconcile_sees_every_corpus(spark):
-    got = {(r["corpus_id"], r["problem"]) for r in QUERIES["reconcile_corpora"](spark, "/root/testdata/sf0.01").collect()}
+    got = {(r["corpus_id"], r["problem"]) for r in QUERIES["reconcile_diff"](spark, "/root/testdata/sf0.01").collect()}
     assert len({c for c, _ in got}) > 1 and {p for _, p in got} == {"extra", "gap", "conflicting"}
 
 
-@pytest.mark.parametrize("name", ["tiered_merge_all", "tiered_candidates_all"])
+@pytest.mark.parametrize("name", ["tiered_merge", "tiered_candidates"])
 def test_tiers_have_every_vector(spark, name):
     found = {r["vec_id"] for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
     assert any(k % 2 and k % 3 for k in found) and not any(k % 7 == 0 for k in found)

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -184,9 +185,8 @@ def test_lists_lose_little(spark):
     every = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "key long, vector array<float>").cache()
     v, q = every.filter("key >= 20"), every.filter("key < 20").select(F.col("key").alias("query_id"), "vector")
     exact = dense.batch_search(v, q, 10, 16)
-    lists, pq = dense.InvertedLists.fit(v, 16, 16), dense.sampled_quantizer(v, 16)
     for codec in ("flat", "sq8", "pq"):
-        o = evaluation.overlap(lists.search(q, 10, 4, codec, pq, 40), exact, 10).first()
+        o = evaluation.overlap(dense.InvertedLists.fit(v, 16, 16, codec=codec).search(q, 10, 4, 40), exact, 10).first()
         assert o["recall"] >= evaluation.GATES[{"flat": "ivf"}.get(codec, f"ivf_{codec}")] and o["overlap"] >= 0.8
     o = evaluation.overlap(dense.build_index(v, 16).search(q, 10), exact, 10).first()
     assert o["recall"] >= evaluation.GATES["ivf"] and o["overlap"] >= 0.8
@@ -195,14 +195,80 @@ def test_lists_lose_little(spark):
 def test_gates_measure_probed_lists(spark, monkeypatch):
     used, own = [], dense.InvertedLists.search
 
-    def search_(self, q, k, probes=16, codec="flat", *rest):
-        used.append((len(self.centroids), probes, codec))
-        return own(self, q, k, probes, codec, *rest)
+    def search_(self, q, k, probes=16, *rest):
+        used.append((len(self.centroids), probes, self.codec))
+        return own(self, q, k, probes, *rest)
 
     monkeypatch.setattr(dense.InvertedLists, "search", search_)
-    paths = {r["path"] for r in retrieval.ann_gates(spark, "/root/testdata/sf0.01").collect()}
+    paths = {r["path"] for r in retrieval.ann_figures(spark, "/root/testdata/sf0.01").collect()}
     assert paths == {*evaluation.GATES, "ivf_default"}
     assert {(c, p) for n, p, c in used if p < n} == {("flat", 16), ("sq8", 16), ("pq", 16)} and (256, 16, "flat") in used
     used.clear()
     figures = evaluate.run_dense(spark, 2000, 32, 20)
     assert {c for n, p, c in used if p < n} == {"flat", "sq8", "pq"} and figures["all ivf_pq"]["gate"] == evaluation.GATES["ivf_pq"]
+
+
+def test_lists_are_kept_and_pruned(spark, tmp_path):
+    v = payloads.synthetic_vectors(spark, 800, 16).cache()
+    q = v.filter("key < 7").select(F.col("key").alias("query_id"), "vector")
+    for codec in ("flat", "sq8", "pq"):
+        made = dense.InvertedLists.fit(v, 16, 20, codec=codec, path=f"{tmp_path}/{codec}")
+        again = dense.InvertedLists.read(spark, f"{tmp_path}/{codec}")
+        assert rows(made.search(q, 5, 3, 50)) == rows(again.search(q, 5, 3, 50))
+    one = q.filter("query_id = 3")
+    plan = dense.InvertedLists.read(spark, f"{tmp_path}/flat").search(one, 5, 2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [list" in plan
+    assert made.search(q.limit(0), 5, 2).count() == 0
+
+
+def test_one_usable_vector_of_several(spark):
+    df = spark.createDataFrame([(1, [9.0, 9.0]), (1, [0.6, 0.8]), (1, None), (2, [1.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0])], "k long, v array<float>")
+    assert [(a, [round(x, 3) for x in b]) for a, b in rows(dense.usable_vectors(df, "k", "v", 2))] == [(1, [0.6, 0.8]), (3, [1.0, 0.0])]
+
+
+def test_many_queries_in_bounded_blocks(spark, monkeypatch):
+    """70,000 queries: matrices stay bounded, results are those of few queries."""
+    from siftwell.operators import blocks
+
+    v = payloads.synthetic_vectors(spark, 400, 8).cache()
+    q = payloads.synthetic_vectors(spark, 70_000, 8, seed=5).withColumnRenamed("key", "query_id").cache()
+    got = dense.batch_search(v, q, 3, 8).filter("query_id < 20")
+    assert rows(got) == rows(dense.batch_search(v, q.filter("query_id < 20"), 3, 8))
+    assert blocks.CELLS * 8 <= 64 << 20
+
+
+def test_ties_across_batches(spark):
+    df = spark.createDataFrame([(f"k{i:03d}", [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(100)], "key string, vector array<float>").repartition(7)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = sorted(dense.batch_search(df, q, 4, 2).collect(), key=lambda r: r["rank"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["key"] for r in got] == ["k001", "k002", "k004", "k005"]
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_both_ways_of_lexical_search_agree(spark, stem, tmp_path):
+    import random
+
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(60)] + ["caches", "caching", "the", ""]
+    df = spark.createDataFrame([(f"c{i:03d}", " ".join(r.choice(words) for _ in range(r.randrange(0, 30)))) for i in range(300)] + [("long", "alpha " * 50_000), ("null", None)], "chunk_key string, text string")
+    index = lexical.build(df, "chunk_key", "text", options=lexical.TokenOptions(stem=stem))
+    q = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(8))) for i in range(40)] + [(99, "alpha alpha"), (100, None), (101, "nowhere")], "query_id int, text string")
+    w = lexical.weighted(index, lexical.query_terms(q, "query_id", "text", index.options))
+    one = rows(lexical.top(lexical.best_by_blocks(index, w, 7), 7))
+    assert one == rows(lexical.top(lexical.scores(index, w), 7)) and len(one) > 100
+    index.write(f"{tmp_path}/index")
+    again = lexical.LexicalIndex.read(spark, f"{tmp_path}/index")
+    assert rows(lexical.search(again, q, "query_id", "text", 7)) == rows(lexical.search(index, q, "query_id", "text", 7)) == one
+    single = q.filter("query_id = 99")
+    plan = lexical.search(again, single, "query_id", "text", 3)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", plan)
+
+
+def test_a_missing_chunk_is_an_error(spark, corpus):
+    found = spark.createDataFrame([(1, 1, 0.5, "no such chunk")], "query_id int, rank int, score double, chunk_key string")
+    with pytest.raises(Exception, match="corrupt_index"):
+        search.resolved(corpus, found).collect()
