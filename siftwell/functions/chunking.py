@@ -19,6 +19,8 @@ from siftwell.functions.hashing import stable_chunk_key
 from siftwell.functions.text import indexed_text
 
 CRUMB = " › "
+#: Bytes of the longest token a measure may know.
+LONGEST_TOKEN = 1024
 _SENTENCE, _SOFT = b".!?;", b" \t\n\v\f\r,:/}])-|"
 _HEADING = re.compile(rb"(#{1,6}) ")
 
@@ -66,8 +68,11 @@ SERVICE_OPTIONS = ChunkOptions(max_lines=40, target_tokens=320, max_tokens=384,
 
 def _fitting(text: bytes, context: bytes, o: ChunkOptions) -> int:
     """How much of the text the limit takes: to its last sentence end, else its last soft boundary, else as much as fits; one character at least."""
-    low, high = 0, len(text)
-    while low < high:  # sizes grow with the text
+    # sizes grow with the text: look ahead from the limit in doubling steps, so what lies far beyond it is never measured
+    low, high = 0, min(len(text), o.limit)
+    while high < len(text) and o.size(text[:high], context) <= o.limit:
+        low, high = high, min(len(text), 2 * high)
+    while low < high:
         mid = (low + high + 1) // 2
         if o.size(text[:mid], context) <= o.limit:
             low = mid
@@ -89,6 +94,11 @@ def _fitting(text: bytes, context: bytes, o: ChunkOptions) -> int:
     return low
 
 
+def _ahead(o: ChunkOptions) -> int:
+    """How many bytes a piece can take at most: a measured token has ``LONGEST_TOKEN`` bytes at most, without a measure a unit is a byte."""
+    return (o.limit + 1) * (LONGEST_TOKEN if o.measure else 1) + 4
+
+
 class _Headings:
     """The open headings by level."""
 
@@ -115,10 +125,14 @@ def chunk_text(content: str | None, o: ChunkOptions = ChunkOptions()) -> list[di
     for number, line in enumerate(body.split(b"\n")):
         if not line:
             units.append((b"", number))
-        while line:
-            cut = _fitting(line, b"", o)
-            units.append((line[:cut], number))
-            line = line[cut:]
+        at = 0
+        while at < len(line):
+            # the longest piece that can matter: whole characters, so the view moves on without copying what is left
+            cut = _fitting(line[at : at + _ahead(o)], b"", o)
+            while at + cut < len(line) and cut > 1 and line[at + cut] & 0xC0 == 0x80:
+                cut -= 1
+            units.append((line[at : at + cut], number))
+            at += cut
     out, headings, i = [], _Headings(), 0
     target = o.target_tokens or o.limit
     while i < len(units):

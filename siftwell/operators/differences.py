@@ -1,12 +1,12 @@
 """Differences between two copies of a table, found by hierarchical checksums over key ranges.
 
-Each side is reduced to one checksum line per key (``fingerprints``): the key's place on a 63-bit line and a 128-bit
-hash of its normalised fields. Ranges of that line hold counts and XOR sums. Equal ranges are dropped at a coarse level
-first; the ranges that differ are bisected again and again on the checksums of their halves until they hold few keys;
-only the rows of those leaf ranges are read again and compared field by field.
+Each side is reduced to one checksum line per key (``fingerprints``): the key's place on a 62-bit line and a 128-bit
+hash of its normalised fields. Ranges of that line hold counts and XOR sums. The checksums of some coarse ranges are compared
+first; the ranges that differ are cut again (six bisections a level) and only the lines in them are summed and compared
+at the next level, until a range holds few keys. Only the rows of those leaf ranges are read again and compared field by field.
 
 The places are hashes of the keys, so the ranges are even whatever the keys look like, and one hot corpus is spread
-over all of them. Every level is an aggregate of the one below it; nothing but checksums is shuffled for equal ranges.
+over all of them. Sums are folded in each task, so for equal copies little more than a line per coarse range and task is shuffled.
 
 Defined results
 - null key parts: a null key is a key like any other (compared null-safely);
@@ -18,10 +18,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +26,8 @@ from pyspark.sql import types as T
 from siftwell.session import materialize
 
 _LINE_BITS = 62
+#: Open ranges of up to so many (8 bytes each) are broadcast to the lines; more are joined by shuffle.
+BROADCAST_RANGES = 500_000
 
 
 def newline_folded(c: Column) -> Column:
@@ -90,49 +89,28 @@ def _unequal(left: DataFrame, right: DataFrame) -> DataFrame:
     return j.filter("an <> bn OR a1 <> b1 OR a2 <> b2")
 
 
-def _bisect(frames: Iterator[pd.DataFrame], leaf_bits: int) -> Iterator[pd.DataFrame]:
-    """Ranges of one coarse range, as cells of both sides: bisect while the halves' checksums differ.
+def unequal_ranges(left: DataFrame, right: DataFrame, rows: int, leaf_rows: int = 8, first_bits: int = 12, step_bits: int = 6) -> tuple[DataFrame, int, int]:
+    """(leaf ranges whose checksums differ, as (range), their number, the shift that takes a place to its range).
 
-    A cell is the finest range; prefix XOR and prefix counts give the checksum of any run of cells in constant time.
-    """
-    for g in frames:
-        g = g.sort_values("cell")
-        cell = g["cell"].to_numpy(np.int64)
-        diff = [(g[f"a{k}"].to_numpy(np.int64) ^ g[f"b{k}"].to_numpy(np.int64)) for k in (1, 2)] + [g["an"].to_numpy(np.int64) - g["bn"].to_numpy(np.int64)]
-        prefix = [np.concatenate([[0], np.bitwise_xor.accumulate(d) if k < 2 else np.cumsum(np.abs(d))]) for k, d in enumerate(diff)]
-        base = cell[0] >> leaf_bits << leaf_bits
-        stack, found = [(base, leaf_bits)], []
-        while stack:
-            start, bits = stack.pop()
-            i, j = np.searchsorted(cell, [start, start + (1 << bits)])
-            if i == j or all(p[i] == p[j] for p in prefix):
-                continue
-            if bits == 0:
-                found.append(start)
-            else:
-                stack += [(start, bits - 1), (start + (1 << bits - 1), bits - 1)]
-        yield pd.DataFrame({"cell": np.array(found, dtype=np.int64)})
-
-
-def unequal_ranges(left: DataFrame, right: DataFrame, rows: int, leaf_rows: int = 8, coarse_cells: int = 4096) -> tuple[DataFrame, int]:
-    """Leaf ranges whose checksums differ, as (cell), and the shift that takes a place to its cell.
-
-    ``rows`` (of the larger side) sets the number of cells, about one per ``leaf_rows`` keys; each coarse range has at
-    most ``coarse_cells`` cells, which bounds what one task bisects.
+    ``rows`` (of the larger side) sets the depth: leaves have about ``leaf_rows`` keys. A level reads the fingerprints, keeps
+    those in the open ranges of the level above and sums them by halves of halves, ``step_bits`` bisections deep.
     """
-    cell_bits = min(_LINE_BITS - 2, max(1, int(np.ceil(np.log2(max(2, rows / leaf_rows))))))
-    group_bits = min(cell_bits, int(np.log2(coarse_cells)))
-    shift = _LINE_BITS - cell_bits
-    cells = [materialize(_sums(p, shift).withColumnRenamed("range", "cell"), "cells") for p in (left, right)]
-    coarse = [c.groupBy(F.shiftright("cell", group_bits).alias("range")).agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")) for c in cells]
-    open_ranges = _unequal(*coarse).select("range")
-    sides = [
-        c.select(F.shiftright("cell", group_bits).alias("range"), "cell", *[F.col(x).alias(f"{s}{y}") for x, y in (("n", "n"), ("x1", "1"), ("x2", "2"))])
-        for c, s in zip(cells, "ab", strict=True)
-    ]
-    both = sides[0].join(sides[1], ["range", "cell"], "full_outer").fillna(0).join(open_ranges, "range", "left_semi")
-    found = both.groupBy("range").applyInPandas(lambda g: next(_bisect(iter([g]), group_bits)), "cell long")
-    return found, shift
+    depth = min(_LINE_BITS - 2, max(1, int(np.ceil(np.log2(max(2, rows / leaf_rows))))))
+    bits, sides = min(first_bits, depth), (left, right)
+    while True:
+        shift = _LINE_BITS - bits
+        found = materialize(_unequal(*[_sums(side, shift) for side in sides]).select("range"), "ranges")
+        n = found.count()
+        if bits == depth or not n:
+            return found, n, shift
+        sides = tuple(within(side, F.col("place"), found, n, shift) for side in (left, right))
+        bits = min(depth, bits + step_bits)
+
+
+def within(df: DataFrame, place: Column, ranges: DataFrame, n: int, shift: int) -> DataFrame:
+    """Rows whose place lies in one of the ranges."""
+    r = ranges.select(F.col("range").alias("_range"))
+    return df.join(F.broadcast(r) if n <= BROADCAST_RANGES else r, F.shiftright(place, shift) == F.col("_range"), "left_semi")
 
 
 def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: dict[str, Column], prefer: list[str] = (), names: tuple[str, str] = ("missing_in_left", "missing_in_right"), leaf_rows: int = 8) -> DataFrame:
@@ -145,12 +123,11 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: dict
     sides = [_prepared(d, keys, fields, prefer) for d in (left, right)]
     prints = [materialize(fingerprints(p, nk, nf, len(prefer)), "fingerprints") for p in sides]
     rows = max(p.count() for p in prints)
-    found, shift = unequal_ranges(prints[0], prints[1], rows, leaf_rows)
-    cells = materialize(found, "ranges")
+    ranges, n, shift = unequal_ranges(prints[0], prints[1], rows, leaf_rows)
     kinds = {f.name: f.dataType for f in sides[0].schema.fields}
 
     def leaf(side: DataFrame, name: str) -> DataFrame:
-        near = side.withColumn("cell", F.shiftright(_line(side, nk), shift)).join(cells, "cell", "left_semi")
+        near = within(side, _line(side, nk), ranges, n, shift)
         v = F.struct(*[f"p{i}" for i in range(len(prefer))], *[f"f{i}" for i in range(nf)])
         return near.groupBy(*[_marked(F.col(f"k{i}"), kinds[f"k{i}"]).alias(f"m{i}") for i in range(nk)]).agg(*[F.first(f"k{i}").alias(f"{name}k{i}") for i in range(nk)], F.max(v).alias(name))
 

@@ -7,10 +7,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftwell.errors import EngineError
+
 _SCRATCH: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -55,7 +59,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in the one that all executors share, ``spark.checkpoint.dir``; removed when the driver ends.
 
-    Only where that is unset (one machine, as in tests) a local folder is made and set.
+    Only where that is unset and there is but one machine (a local master, as in tests) a local folder is made and set.
     """
     ship_package(spark)
     sc = spark.sparkContext
@@ -63,6 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _SCRATCH:
         base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise EngineError("failed_precondition", "spark.checkpoint.dir is not set: executors of several machines need a folder that all of them share")
             base = "file://" + tempfile.mkdtemp(prefix="siftwell-")
             sc.setCheckpointDir(base)
         _SCRATCH[app] = f"{base.rstrip('/')}/siftwell-{app}"
@@ -78,9 +84,27 @@ def _clean_up(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+#: Paths made within each open ``scratch``, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are removed at the end; results must have been fetched by then. For applications that answer many requests."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -1,7 +1,9 @@
 """A corpus as immutable generations of Parquet tables, with atomic revisioned changes.
 
-Generation n has ``documents``, ``chunks``, ``delta`` marks and ``revisions`` (the latest known revision of every document, erased ones
-too). A change writes generation n + 1 beside it and then renames a manifest into place; readers pin a number and never see a mix.
+A generation has ``documents``, ``chunks`` (with ``delta`` marks) and ``revisions`` (the latest known revision of every document, erased ones
+too). Each table is a list of segments. A change writes segments with what is new only, reads them back for faults, and then
+renames a manifest with the longer lists into place; readers pin a number and never see a mix. What a revision supersedes is left
+out when reading, by the latest revisions; ``compact`` folds all segments into one.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from siftwell.errors import EngineError
 from siftwell.functions.chunking import ChunkOptions, chunk_documents
 from siftwell.functions.hashing import content_hash
-from siftwell.functions.vectors import Embedder, embedded
+from siftwell.functions.vectors import UNIT_TOLERANCE, Embedder, dot, embedded
+from siftwell.session import materialize, remove_path
 
 DOCUMENTS = "doc_key string, revision bigint, title string, content string, metadata map<string,string>, content_hash string, chunking_fingerprint string, embedding_identity string"
 CHUNKS = "chunk_key string, doc_key string, revision bigint, ordinal int, text string, indexed_text string, context string, start_line int, end_line int, embedding array<float>, delta boolean"
@@ -78,7 +81,7 @@ class Store:
     def manifest(self, generation: int | None = None) -> dict:
         names = self._manifests()
         if not names:
-            return {"generation": 0, "tables": {}, "tombstones": 0}
+            return {"generation": 0, "tables": {}, "tombstones": 0, "merged": True}
         name = names[-1] if generation is None else f"{generation:010d}.json"
         if name not in names:
             raise EngineError("not_found", f"generation {generation}")
@@ -89,24 +92,38 @@ class Store:
         return self.manifest()["generation"]
 
     def table(self, name: str, generation: int | None = None) -> DataFrame:
-        """A table of a generation (the latest by default)."""
-        m = self.manifest(generation)
-        if name not in m["tables"]:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(m["tables"][name])
+        """A table of a generation (the latest by default): the segments, without what later revisions supersede."""
+        return self._merged(self.manifest(generation), name)
 
-    def _publish(self, base: dict, tables: dict[str, DataFrame], tombstones: int) -> int:
-        """Write what changed, then swap; a generation that appeared meanwhile wins and this one fails."""
+    def _merged(self, m: dict, name: str) -> DataFrame:
+        if not m["tables"].get(name):
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(*m["tables"][name])
+        if m["merged"]:
+            return rows
+        if name == "revisions":
+            # one fold by key, in each task before the shuffle
+            last = rows.groupBy("doc_key").agg(F.max(F.struct("revision", "deleted", "content_hash")).alias("r"))
+            return last.select("doc_key", "r.revision", "r.deleted", "r.content_hash")
+        live = self._merged(m, "revisions").filter("NOT deleted").select(F.col("doc_key").alias("_k"), F.col("revision").alias("_r"))
+        return rows.join(live, (F.col("doc_key") == F.col("_k")) & (F.col("revision") == F.col("_r")), "left_semi")
+
+    def _segment(self, base: dict, token: str, name: str, df: DataFrame) -> str:
+        """Write a segment of the generation after ``base``; nobody reads it before a manifest names it."""
+        path = f"{self.path}/generations/{base['generation'] + 1:010d}-{token}/{name}"
+        df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(path)
+        return path
+
+    def _publish(self, base: dict, segments: dict[str, str], tombstones: int, replace: bool = False) -> int:
+        """Make the next generation of written segments, after those of ``base`` or in their place; a generation that appeared meanwhile wins and this one fails."""
         n, token = base["generation"] + 1, uuid.uuid4().hex
-        paths = dict(base["tables"])
-        for name, df in tables.items():
-            paths[name] = f"{self.path}/generations/{n:010d}-{token}/{name}"
-            columns = [f"{c.name}" for c in self.spark.createDataFrame([], SCHEMAS[name]).schema]
-            df.select(*columns).write.parquet(paths[name])
+        kept = {} if replace else base["tables"]
+        tables = {name: [*kept.get(name, []), *([segments[name]] if name in segments else [])] for name in SCHEMAS}
+        merged = replace or not base["tables"]
         temp, fs = self._fs(f"{self.path}/manifests/.{token}.tmp")
         final, _ = self._fs(f"{self.path}/manifests/{n:010d}.json")
         out = fs.create(temp, False)
-        out.write(bytearray(json.dumps({"generation": n, "tables": paths, "tombstones": tombstones}).encode()))
+        out.write(bytearray(json.dumps({"generation": n, "tables": tables, "tombstones": tombstones, "merged": merged}).encode()))
         out.close()
         if fs.exists(final) or not fs.rename(temp, final):
             fs.delete(temp, False)
@@ -117,7 +134,7 @@ class Store:
 
     def verdicts(self, incoming: DataFrame, base: dict | None = None) -> DataFrame:
         """(doc_key, revision, content_hash, verdict): apply, unchanged or stale, against the latest known revisions."""
-        known = self.table("revisions").select(F.col("doc_key").alias("_k"), F.col("revision").alias("_r"), F.col("content_hash").alias("_h"), F.col("deleted").alias("_d"))
+        known = self._merged(base or self.manifest(), "revisions").select(F.col("doc_key").alias("_k"), F.col("revision").alias("_r"), F.col("content_hash").alias("_h"), F.col("deleted").alias("_d"))
         j = incoming.join(known, F.col("doc_key") == F.col("_k"), "left")
         verdict = (
             F.when(F.col("_r").isNull() | (F.col("revision") > F.col("_r")), "apply")
@@ -127,48 +144,57 @@ class Store:
         return j.withColumn("verdict", verdict).drop("_k", "_r", "_h", "_d")
 
     @staticmethod
-    def faults(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-        """(doc_key, fault): what would break the corpus: empty or repeated keys, repeated chunks, gaps in the ordinals, partial or mixed embeddings."""
+    def document_faults(documents: DataFrame) -> DataFrame:
+        """(doc_key, fault): empty or repeated keys, null content, a content hash that is not that of the content."""
         key = documents.groupBy("doc_key").agg(F.count("*").alias("n")).filter("doc_key IS NULL OR doc_key = '' OR n > 1").select("doc_key", F.lit("document_key").alias("fault"))
+        wrong = ~F.coalesce(F.col("content_hash") == content_hash(F.col("title"), F.col("content"), F.col("metadata")), F.lit(False))
+        own = F.when(F.col("content").isNull(), "content").when(F.coalesce(F.col("revision"), F.lit(-1)) < 0, "revision").when(wrong, "content_hash")
+        return key.unionByName(documents.select("doc_key", own.alias("fault")).filter("fault IS NOT NULL"))
+
+    @staticmethod
+    def chunk_faults(chunks: DataFrame) -> DataFrame:
+        """(doc_key, fault): repeated chunks, gaps in the ordinals, partial or mixed embeddings, embeddings that are not finite or not of unit length."""
         chunk = chunks.groupBy("chunk_key").agg(F.count("*").alias("n"), F.min("doc_key").alias("doc_key")).filter("n > 1").select("doc_key", F.lit("chunk_key").alias("fault"))
-        per = chunks.groupBy("doc_key").agg(F.count("*").alias("n"), F.max("ordinal").alias("last"), F.countDistinct("ordinal").alias("d"), F.count("embedding").alias("e"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"))
-        ordinal = per.filter("last <> n - 1 OR d <> n").select("doc_key", F.lit("ordinals").alias("fault"))
-        partial = per.filter("e NOT IN (0, n) OR e > 0 AND lo <> hi").select("doc_key", F.lit("embeddings").alias("fault"))
-        return key.unionByName(chunk).unionByName(ordinal).unionByName(partial)
+        off = ~F.coalesce(F.abs(dot(F.col("embedding"), F.col("embedding")) - 1) <= UNIT_TOLERANCE, F.lit(False))
+        per = chunks.groupBy("doc_key").agg(
+            F.count("*").alias("n"), F.max("ordinal").alias("last"), F.countDistinct("ordinal").alias("d"), F.count("embedding").alias("e"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"),
+            F.max(F.when(F.col("embedding").isNotNull(), off)).alias("off"),
+        )
+        fault = F.when(F.expr("last <> n - 1 OR d <> n"), "ordinals").when(F.expr("e NOT IN (0, n) OR e > 0 AND lo <> hi"), "embeddings").when(F.col("off"), "norm")
+        return chunk.unionByName(per.select("doc_key", fault.alias("fault")).filter("fault IS NOT NULL"))
 
     def activate(self, documents: DataFrame, chunks: DataFrame) -> DataFrame:
-        """Make prepared documents current, all or none: (doc_key, revision, verdict). A stale revision or a fault leaves everything as it was."""
-        base = self.manifest()
-        documents = documents.persist()
-        try:
-            fault = self.faults(documents, chunks).first()
-            if fault:
-                raise EngineError("invalid_argument", f"{fault['fault']} of {fault['doc_key']}")
-            verdicts = self.verdicts(documents)
-            stale = verdicts.filter("verdict = 'stale'").first()
-            if stale:
-                raise EngineError("already_exists", f"revision {stale['revision']} of {stale['doc_key']} is not newer")
-            self._same_space(documents)
-            fresh = verdicts.filter("verdict = 'apply'").drop("verdict")
-            keys = fresh.select(F.col("doc_key").alias("_k"))
-            gone = lambda t: t.join(keys, F.col("doc_key") == F.col("_k"), "left_anti")
-            replaced = self.table("chunks").filter("NOT delta").join(keys, F.col("doc_key") == F.col("_k"), "left_semi").count()
-            new_chunks = chunks.withColumn("delta", F.lit(True)).join(keys, F.col("doc_key") == F.col("_k"), "left_semi")
-            revisions = fresh.select("doc_key", "revision", F.lit(False).alias("deleted"), "content_hash")
-            result = verdicts.select("doc_key", "revision", "verdict").toPandas()
-            if (result["verdict"] == "apply").any():
-                self._publish(
-                    base,
-                    {
-                        "documents": gone(self.table("documents")).unionByName(fresh.select(*self.table("documents").columns)),
-                        "chunks": gone(self.table("chunks")).unionByName(new_chunks.select(*self.table("chunks").columns)),
-                        "revisions": gone(self.table("revisions")).unionByName(revisions),
-                    },
-                    base["tombstones"] + replaced,
-                )
-            return self.spark.createDataFrame(result, "doc_key string, revision bigint, verdict string")
-        finally:
-            documents.unpersist()
+        """Make prepared documents current, all or none: (doc_key, revision, verdict). A stale revision or a fault leaves everything as it was.
+
+        Chunks are made (cut, embedded) once, as they are written; the faults are looked for in what was written.
+        """
+        base, token = self.manifest(), uuid.uuid4().hex
+        documents = materialize(documents, "incoming")
+        fault = self.document_faults(documents).first()
+        if fault:
+            raise EngineError("invalid_argument", f"{fault['fault']} of {fault['doc_key']}")
+        verdicts = materialize(self.verdicts(documents, base).select("doc_key", "revision", "verdict"), "verdicts")
+        stale = verdicts.filter("verdict = 'stale'").first()
+        if stale:
+            raise EngineError("already_exists", f"revision {stale['revision']} of {stale['doc_key']} is not newer")
+        self._same_space(documents)
+        keys = verdicts.filter("verdict = 'apply'").select(F.col("doc_key").alias("_k"))
+        if keys.isEmpty():
+            return verdicts
+        fresh = documents.join(keys, F.col("doc_key") == F.col("_k"), "left_semi")
+        paths = {"chunks": self._segment(base, token, "chunks", chunks.withColumn("delta", F.lit(True)).join(keys, F.col("doc_key") == F.col("_k"), "left_semi"))}
+        fault = self.chunk_faults(self.spark.read.schema(CHUNKS).parquet(paths["chunks"])).first()
+        if fault:
+            remove_path(self.spark, paths["chunks"].rpartition("/")[0])
+            raise EngineError("invalid_argument", f"{fault['fault']} of {fault['doc_key']}")
+        paths["documents"] = self._segment(base, token, "documents", fresh)
+        paths["revisions"] = self._segment(base, token, "revisions", fresh.select("doc_key", "revision", F.lit(False).alias("deleted"), "content_hash"))
+        self._publish(base, paths, base["tombstones"] + self._in_base(base, keys))
+        return verdicts
+
+    def _in_base(self, base: dict, keys: DataFrame) -> int:
+        """How many chunks of the base a change of these documents (_k) buries."""
+        return self._merged(base, "chunks").filter("NOT delta").join(keys, F.col("doc_key") == F.col("_k"), "left_semi").count()
 
     def _same_space(self, documents: DataFrame) -> None:
         """One chunking and one embedding identity per corpus."""
@@ -180,44 +206,54 @@ class Store:
     def erase(self, keys: DataFrame) -> DataFrame:
         """(doc_key, revision, removed) for (doc_key, revision): removes documents and remembers the revision; erasing again is no error, an older revision is."""
         base = self.manifest()
-        known = self.table("revisions").select(F.col("doc_key").alias("_k"), F.col("revision").alias("_r"), F.col("deleted").alias("_d"))
+        known = self._merged(base, "revisions").select(F.col("doc_key").alias("_k"), F.col("revision").alias("_r"), F.col("deleted").alias("_d"))
         j = keys.select("doc_key", F.col("revision").cast("bigint").alias("revision")).join(known, F.col("doc_key") == F.col("_k"), "left")
-        j = j.withColumn("stale", F.col("_r").isNotNull() & ((F.col("revision") < F.col("_r")) | (F.col("revision") == F.col("_r")) & ~F.col("_d")))
-        j = j.withColumn("removed", F.coalesce(~F.col("_d"), F.lit(False))).withColumn("record", F.col("_r").isNull() | (F.col("revision") > F.col("_r")))
-        rows = j.select("doc_key", "revision", "stale", "removed", "record").toPandas()
-        if rows["stale"].any():
-            raise EngineError("already_exists", f"revision of {rows[rows['stale']].iloc[0]['doc_key']} is not newer")
-        if rows["record"].any():
-            hit = self.spark.createDataFrame(rows[rows["record"]][["doc_key", "revision"]], "doc_key string, revision bigint")
-            on = hit.select(F.col("doc_key").alias("_k"))
-            gone = lambda t: t.join(on, F.col("doc_key") == F.col("_k"), "left_anti")
-            dead = self.table("chunks").join(on, F.col("doc_key") == F.col("_k"), "left_semi").filter("NOT delta").count()
-            marks = hit.select("doc_key", "revision", F.lit(True).alias("deleted"), F.lit(None).cast("string").alias("content_hash"))
-            self._publish(base, {"documents": gone(self.table("documents")), "chunks": gone(self.table("chunks")), "revisions": gone(self.table("revisions")).unionByName(marks)}, base["tombstones"] + dead)
-        return self.spark.createDataFrame(rows[["doc_key", "revision", "removed"]], "doc_key string, revision bigint, removed boolean")
+        stale = F.col("_r").isNotNull() & ((F.col("revision") < F.col("_r")) | (F.col("revision") == F.col("_r")) & ~F.col("_d"))
+        j = j.select("doc_key", "revision", F.coalesce(~F.col("_d"), F.lit(False)).alias("removed"), stale.alias("stale"), (F.col("_r").isNull() | (F.col("revision") > F.col("_r"))).alias("record"))
+        j = materialize(j, "erasures")
+        late = j.filter("stale").first()
+        if late:
+            raise EngineError("already_exists", f"revision of {late['doc_key']} is not newer")
+        marks = j.filter("record").select("doc_key", "revision", F.lit(True).alias("deleted"), F.lit(None).cast("string").alias("content_hash"))
+        if not marks.isEmpty():
+            buried = self._in_base(base, marks.select(F.col("doc_key").alias("_k")))
+            path = self._segment(base, uuid.uuid4().hex, "revisions", marks)
+            n = self._publish(base if base["tables"] else base | {"tables": {"revisions": []}}, {"revisions": path}, base["tombstones"] + buried)
+            assert n == base["generation"] + 1
+        return j.select("doc_key", "revision", "removed")
 
     def compact(self, override_budget: bool = False, policy: MaintenancePolicy = MaintenancePolicy()) -> bool:
-        """Fold the delta into the base and forget tombstones, if the policy asks for it or the budget is overridden."""
+        """Fold all segments into one, the delta into the base, and forget tombstones, if the policy asks for it or the budget is overridden."""
         s = self.stats().first()
         if not override_budget and not policy.required(s["base"], s["delta"], s["tombstones"], s["dimension"] or 0):
             return False
-        self._publish(self.manifest(), {"chunks": self.table("chunks").withColumn("delta", F.lit(False))}, 0)
+        self._copy(self, self.manifest(), self.manifest(), True, 0)
         return True
 
+    def _copy(self, source: Store, m: dict, base: dict, folded: bool, tombstones: int) -> int:
+        """Write a generation of ``source`` as single segments and publish them in place of those of ``base``."""
+        token, paths = uuid.uuid4().hex, {}
+        for name in SCHEMAS:
+            rows = source._merged(m, name)
+            paths[name] = self._segment(base, token, name, rows.withColumn("delta", F.lit(False)) if name == "chunks" and folded else rows)
+        return self._publish(base, paths, tombstones, True)
+
     def checkpoint(self, path: str) -> int:
         """Copy the current generation to another path; its number."""
-        other = Store(self.spark, path)
-        m = self.manifest()
-        other._publish({"generation": m["generation"] - 1, "tables": {}}, {n: self.table(n, m["generation"]) for n in SCHEMAS}, m["tombstones"])
-        return m["generation"]
+        other, m = Store(self.spark, path), self.manifest()
+        return other._copy(self, m, {"generation": m["generation"] - 1, "tables": {}}, False, m["tombstones"])
 
     def restore(self, path: str) -> int:
         """Take over the latest generation of a checkpoint as this store's next one; its number."""
-        other, base = Store(self.spark, path), self.manifest()
+        other = Store(self.spark, path)
         m = other.manifest()
         if not m["tables"]:
             raise EngineError("not_found", f"no checkpoint under {path}")
-        return self._publish(base, {n: other.table(n, m["generation"]) for n in SCHEMAS}, m["tombstones"])
+        return self._copy(other, m, self.manifest(), False, m["tombstones"])
+
+    def segments(self) -> int:
+        """How many segments a reader of the chunks merges."""
+        return len(self.manifest()["tables"].get("chunks", []))
 
     # --- reading ---
 
@@ -227,6 +263,12 @@ class Store:
         docs = self.table("documents").select("doc_key", "title", "metadata")
         return keys.join(chunks, "chunk_key").join(docs, "doc_key").orderBy("ordinality")
 
+    def find_by_uri(self, uri: str) -> DataFrame:
+        """The document with this key, with its chunks in order; none if it is unknown or erased."""
+        docs = self.table("documents").filter(F.col("doc_key") == uri)
+        chunks = self.table("chunks").filter(F.col("doc_key") == uri).groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_key", "text", "start_line", "end_line"))).alias("chunks"))
+        return docs.join(chunks.withColumnRenamed("doc_key", "_k"), F.col("doc_key") == F.col("_k"), "left").drop("_k")
+
     def stats(self) -> DataFrame:
         """One row: documents, chunks, base, delta, tombstones, dimension, dense_bytes, generation."""
         m = self.manifest()

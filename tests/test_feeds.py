@@ -140,3 +140,17 @@ def test_positions(spark):
         mine = sorted((row["pos"], row["x"], row["w"], row["until"]) for row in got.collect() if row["g"] == g)
         assert [m[0] for m in mine] == list(range(1, len(own) + 1)) and [(m[1], m[2]) for m in mine] == own
         assert [m[3] for m in mine] == [sum(w for _, w in own[: i + 1]) for i in range(len(own))]
+
+
+def test_levels_of_ranges(spark):
+    """Ranges are cut level by level; equal copies end at the first one."""
+    rows_ = [(i, f"k{i}", i % 7) for i in range(3000)]
+    left = spark.createDataFrame(rows_, "c long, k string, v int")
+    right = spark.createDataFrame([(c, k, v + (c in (5, 1700))) for c, k, v in rows_ if c != 2999], "c long, k string, v int")
+    prints = [differences.fingerprints(differences._prepared(d, ["c", "k"], {"v": F.col("v")}, []), 2, 1, 0) for d in (left, right)]
+    found, n, shift = differences.unequal_ranges(*prints, 3000, 1, first_bits=2, step_bits=3)
+    assert n == 3 and shift == differences._LINE_BITS - 12
+    _, n, shift = differences.unequal_ranges(prints[0], prints[0], 3000, 1, first_bits=2, step_bits=3)
+    assert n == 0 and shift == differences._LINE_BITS - 2
+    got = differences.differences(left, right, ["c", "k"], {"v": F.col("v")}, [], ("only right", "only left"))
+    assert sorted(rows(got)) == [(5, "k5", "v"), (1700, "k1700", "v"), (2999, "k2999", "only left")]
