@@ -13,7 +13,7 @@ from siftwell.plans.retrieval import corpus, queries_of
 from siftwell.plans.texts import _TF, sql_tokens
 from siftwell.session import fresh_path, materialize, table
 from siftwell.sources import jobs, payloads
-from siftwell.sources.store import Store, prepare
+from siftwell.sources.store import Store, fetched, prepare
 from siftwell.streaming import ingest
 
 KEYS = ["corpus_id", "external_id"]
@@ -122,18 +122,19 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_fetch_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks fetched by a list of keys, in its order; unknown keys are left out."""
+    """Chunks fetched by lists of keys, in their order; unknown keys are left out."""
     wanted = table(spark, sf_dir, "ranked_lists").filter("hits IS NOT NULL").groupBy("query_id", "list_no").agg(F.max("hits").alias("hits"))
-    wanted = wanted.select("query_id", "list_no", F.posexplode("hits").alias("ordinality", "h")).select("query_id", "list_no", "ordinality", F.col("h.chunk").alias("_k"))
-    c = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]).select("chunk_id", "document_id", "ordinal", "start_line", "end_line")
-    return wanted.join(c, F.col("_k") == F.col("chunk_id")).drop("_k")
+    wanted = wanted.select("query_id", "list_no", F.posexplode("hits").alias("ordinality", "h")).select("query_id", "list_no", "ordinality", F.col("h.chunk").alias("chunk_key"))
+    c = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]).drop("chunk_key").withColumnsRenamed({"chunk_id": "chunk_key", "document_id": "doc_key"})
+    found = fetched(wanted, c.select("chunk_key", "doc_key", "ordinal", "start_line", "end_line"))
+    return found.select("query_id", "list_no", "ordinality", F.col("chunk_key").alias("chunk_id"), F.col("doc_key").alias("document_id"), "ordinal", "start_line", "end_line")
 
 
 def store_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One corpus through prepare, activate, a second revision of every third document, erasure of every seventh and compaction: the state at the end."""
-    docs = table(spark, sf_dir, "corpus_documents").filter("content IS NOT NULL").dropDuplicates(KEYS)
-    docs = docs.select(F.concat_ws("/", "corpus_id", "external_id").alias("doc_key"), F.lit(1).alias("revision"), F.coalesce("title", F.lit("")).alias("title"), "content", F.map_filter("metadata", lambda k, v: v.isNotNull()).alias("metadata"))
-    docs = materialize(docs.withColumn("n", F.pmod(F.xxhash64("doc_key"), F.lit(21))), "docs")
+    docs = table(spark, sf_dir, "corpus_documents").filter("content IS NOT NULL").groupBy(*KEYS).agg(F.max(F.struct(F.coalesce("title", F.lit("")).alias("title"), "content")).alias("d"))
+    docs = docs.select(F.concat_ws("/", *KEYS).alias("doc_key"), F.lit(1).alias("revision"), "d.title", "d.content", F.create_map(F.lit("corpus"), F.col("corpus_id").cast("string")).alias("metadata"))
+    docs = materialize(docs.withColumn("n", F.length("doc_key") % 21), "docs")
     store, options, embedder = Store(spark, fresh_path(spark, "store")), ChunkOptions(), HashEmbedder(16)
     store.activate(*prepare(docs, options, embedder))
     again = docs.filter("n % 3 = 0").withColumn("revision", F.lit(2)).withColumn("title", F.concat("title", F.lit(" v2")))
@@ -143,6 +144,11 @@ def store_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table("documents").select("doc_key", "revision", "title")
 
 
+LIFECYCLE_SQL = """
+WITH d AS (SELECT corpus_id || '/' || external_id AS doc_key, max(coalesce(title, '')) AS title FROM corpus_documents WHERE content IS NOT NULL GROUP BY ALL), n AS (SELECT *, length(doc_key) % 21 AS n FROM d)
+SELECT doc_key, CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS revision, title || CASE WHEN n % 3 = 0 THEN ' v2' ELSE '' END AS title FROM n WHERE n % 7 <> 0
+"""
+
 
 def store_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after a first load of the store, with lengths: everything that was given is there."""
@@ -180,13 +186,14 @@ SELECT doc_key, revision, deleted FROM (SELECT *, row_number() OVER (PARTITION B
 
 
 def migrate_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus copied from store to store in batches: the report."""
+    """A corpus with chunks and embeddings copied from store to store in batches: the report."""
     docs = table(spark, sf_dir, "corpus_documents").filter("content IS NOT NULL").dropDuplicates(KEYS)
     docs = docs.select(F.concat_ws("/", "corpus_id", "external_id").alias("doc_key"), "revision", "title", "content", F.map_filter("metadata", lambda k, v: v.isNotNull()).alias("metadata"))
     a, b = Store(spark, fresh_path(spark, "source")), Store(spark, fresh_path(spark, "destination"))
-    a.activate(*prepare(docs))
+    a.activate(*prepare(docs, embedder=HashEmbedder(16)))
     report = migration.migrate(migration.StoreEndpoint(a), migration.StoreEndpoint(b), 10_000)
-    return spark.createDataFrame([(report.documents, report.source_checksum == report.destination_checksum)], "documents long, equal boolean")
+    same = b.table("chunks").count() == a.table("chunks").count() == report.chunks
+    return spark.createDataFrame([(report.documents, report.source_checksum == report.destination_checksum and same)], "documents long, equal boolean")
 
 
 MIGRATE_SQL = "SELECT count(DISTINCT (corpus_id, external_id)) AS documents, true AS equal FROM corpus_documents WHERE content IS NOT NULL"
@@ -229,6 +236,7 @@ SELECT status, CASE WHEN status = 'ready' AND r = 1 THEN CASE WHEN lower(trim(op
     "qrels_metrics": _LEX3 + " SELECT query_id, round(count(rank)::DOUBLE, 6) AS recall, round(coalesce(1.0 / min(rank), 0), 6) AS mrr, round(coalesce(sum(1 / log2(rank + 1)), 0), 6) AS ndcg FROM h GROUP BY query_id",
     "latency_percentiles": _LATEST + " SELECT status, round(quantile_cont((updated_at_ms - created_at_ms)::DOUBLE, 0.5), 4) AS p50, round(quantile_cont((updated_at_ms - created_at_ms)::DOUBLE, 0.95), 4) AS p95, round(quantile_cont((updated_at_ms - created_at_ms)::DOUBLE, 0.99), 4) AS p99 FROM j GROUP BY 1",
     "chunk_fetch_ordinal": "WITH w AS (SELECT query_id, list_no, max(hits) AS hits FROM ranked_lists WHERE hits IS NOT NULL GROUP BY 1, 2), h AS (SELECT query_id, list_no, unnest(hits) AS h, (generate_subscripts(hits, 1) - 1)::INTEGER AS ordinality FROM w), c AS (SELECT DISTINCT chunk_id, document_id, ordinal, start_line, end_line FROM chunks) SELECT query_id, list_no, ordinality, chunk_id, document_id, ordinal, start_line, end_line FROM h JOIN c ON c.chunk_id = h.h.chunk",
+    "store_lifecycle": LIFECYCLE_SQL,
     "store_statistics": STORE_STATISTICS_SQL,
     "stream_ingest": STREAM_SQL,
     "migrate_store": MIGRATE_SQL,

@@ -68,7 +68,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise EngineError("failed_precondition", "spark.checkpoint.dir is not set: executors of several machines need a folder that all of them share")
+                raise EngineError("invalid_argument", "spark.checkpoint.dir is not set: executors of several machines need a folder that all of them share")
             base = "file://" + tempfile.mkdtemp(prefix="siftwell-")
             sc.setCheckpointDir(base)
         _SCRATCH[app] = f"{base.rstrip('/')}/siftwell-{app}"

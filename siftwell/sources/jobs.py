@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftwell.errors import EngineError
-from siftwell.session import materialize
+from siftwell.session import materialize, remove_path
 
 #: The states of a job; the last four are final.
 STATUSES = ["queued", "chunking", "embedding", "publishing", "ready", "failed", "superseded", "cancelled"]
@@ -68,24 +68,40 @@ def retained(latest: DataFrame, size: Column, max_jobs: int = 128, max_bytes: in
 
 
 class JobLog:
-    """The job log as a folder of appended Parquet files; a torn write leaves no committed file behind, so readers never see half a record."""
+    """The job log as versions, each a folder of appended Parquet files; the highest version with its mark of completion is read.
+
+    A torn write leaves no committed file behind, so readers never see half a record; compaction writes a version beside the old one and marks it by a
+    rename, so a crash at any time leaves one whole log.
+    """
 
     SCHEMA = "log_seq long, job_id string, corpus_id long, doc_key string, operation string, revision long, content_hash string, status string, created_at_ms long, updated_at_ms long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The current version; 0 before the first compaction."""
+        folder, fs = self._fs(f"{self.path}/marks")
+        return max((int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getPath().getName().isdigit()), default=0) if fs.exists(folder) else 0
+
+    def _at(self, version: int) -> str:
+        return f"{self.path}/log-{version:010d}"
+
     def append(self, snapshots: DataFrame) -> None:
         """Snapshots with rising log_seq; states out of the vocabulary are refused before anything is written."""
         bad = snapshots.filter(~F.col("status").isin(STATUSES) | F.col("job_id").isNull()).first()
         if bad:
             raise EngineError("invalid_argument", f"job {bad['job_id']} with status {bad['status']}")
         columns = self.spark.createDataFrame([], self.SCHEMA).columns
-        snapshots.select(*columns).write.mode("append").parquet(self.path)
+        snapshots.select(*columns).write.mode("append").parquet(self._at(self.version()))
 
     def read(self) -> DataFrame:
         try:
-            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+            return self.spark.read.schema(self.SCHEMA).parquet(self._at(self.version()))
         except AnalysisException:
             return self.spark.createDataFrame([], self.SCHEMA)
 
@@ -93,9 +109,16 @@ class JobLog:
         return latest_snapshots(self.read())
 
     def compact(self, max_jobs: int = 128, max_bytes: int = 16 << 20) -> int:
-        """Replace the log by the last snapshots of the jobs that are kept; the number of them. They are complete in the shared folder before the old files go."""
+        """Go over to a version with the last snapshots of the jobs that are kept; the number of them. The version before stays until the next compaction."""
+        old = self.version()
         size = F.octet_length(F.concat_ws("|", "job_id", "doc_key", "content_hash", "status")) + 64
-        latest = materialize(self.latest(), "latest")
-        kept = materialize(retained(latest, size, max_jobs, max_bytes), "retained")
-        kept.write.mode("overwrite").parquet(self.path)
-        return kept.count()
+        kept = retained(materialize(self.latest(), "latest"), size, max_jobs, max_bytes)
+        kept.write.mode("overwrite").parquet(self._at(old + 1))
+        temp, fs = self._fs(f"{self.path}/marks/.{old + 1}.tmp")
+        fs.create(temp, True).close()
+        mark, _ = self._fs(f"{self.path}/marks/{old + 1}")
+        if fs.exists(mark) or not fs.rename(temp, mark):
+            raise EngineError("already_exists", "another writer compacted the log")
+        if old:
+            remove_path(self.spark, self._at(old - 1))
+        return self.read().count()

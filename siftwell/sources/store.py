@@ -36,6 +36,11 @@ def prepare(documents: DataFrame, options: ChunkOptions = ChunkOptions(), embedd
     return docs, chunks
 
 
+def fetched(keys: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks of (chunk_key, ordinality and whatever else tells lists apart); unknown keys are left out, a key asked for twice comes twice."""
+    return keys.join(chunks.withColumnRenamed("chunk_key", "_c"), F.col("chunk_key") == F.col("_c")).drop("_c")
+
+
 @dataclass(frozen=True)
 class MaintenancePolicy:
     """When the delta should be folded into the base."""
@@ -111,7 +116,7 @@ class Store:
     def _segment(self, base: dict, token: str, name: str, df: DataFrame) -> str:
         """Write a segment of the generation after ``base``; nobody reads it before a manifest names it."""
         path = f"{self.path}/generations/{base['generation'] + 1:010d}-{token}/{name}"
-        df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(path)
+        df.select(*[F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], SCHEMAS[name]).schema]).write.parquet(path)
         return path
 
     def _publish(self, base: dict, segments: dict[str, str], tombstones: int, replace: bool = False) -> int:
@@ -260,8 +265,8 @@ class Store:
     def fetch(self, keys: DataFrame, text: bool = True, embedding: bool = False) -> DataFrame:
         """The chunks of (chunk_key, ordinality) in that order; unknown keys are left out. Unwanted columns are not read."""
         chunks = self.table("chunks").select("chunk_key", "doc_key", "revision", "ordinal", "start_line", "end_line", *(["text", "context"] if text else []), *(["embedding"] if embedding else []))
-        docs = self.table("documents").select("doc_key", "title", "metadata")
-        return keys.join(chunks, "chunk_key").join(docs, "doc_key").orderBy("ordinality")
+        docs = self.table("documents").select(F.col("doc_key").alias("_k"), "title", "metadata")
+        return fetched(keys, chunks).join(docs, F.col("doc_key") == F.col("_k")).drop("_k").orderBy("ordinality")
 
     def find_by_uri(self, uri: str) -> DataFrame:
         """The document with this key, with its chunks in order; none if it is unknown or erased."""

@@ -186,3 +186,117 @@ def test_options_are_checked():
     for bad in (lambda: ChunkOptions(max_chars=-1), lambda: MaintenancePolicy(delta_rows=-1)):
         with pytest.raises(EngineError):
             bad()
+
+
+def test_chunks_are_embedded_once(spark, tmp_path):
+    """Each text of an activation is embedded once, though faults, verdicts and tables read its chunks."""
+    log = tmp_path / "calls"
+
+    class Counting(HashEmbedder):
+        def embed(self, texts):
+            with open(log, "a") as f:
+                f.write("".join(f"{t!r}\n" for t in texts))
+            return super().embed(texts)
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.activate(*prepare(spark.createDataFrame([NORTH, SOUTH], DOC), OPTIONS, Counting(16)))
+    calls = log.read_text().splitlines()
+    assert len(calls) == len(set(calls)) == 3
+
+
+def test_a_change_writes_only_what_is_new(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.activate(*prepared(spark, *[(f"d{i:03}", 1, "t", f"text {i}", {}) for i in range(50)]))
+    store.activate(*prepared(spark, ("d007", 2, "t", "other", {}), ("new", 1, "t", "fresh", {})))
+    store.erase(spark.createDataFrame([("d008", 5)], "doc_key string, revision long"))
+    m = store.manifest()
+    assert [spark.read.parquet(p).count() for p in m["tables"]["documents"]] == [50, 2] and [spark.read.parquet(p).count() for p in m["tables"]["revisions"]] == [50, 2, 1]
+    assert store.table("documents").count() == 50 and store.table("chunks").count() == 50 and store.table("revisions").count() == 51
+    assert rows(store.table("documents").filter("doc_key IN ('d007', 'd008')").select("doc_key", "content")) == [("d007", "other")]
+    before = [rows(store.table(t).drop("delta", "metadata")) for t in ("documents", "chunks", "revisions")]
+    assert store.compact(override_budget=True) and store.segments() == 1
+    assert [rows(store.table(t).drop("delta", "metadata")) for t in ("documents", "chunks", "revisions")] == before
+    assert store.find_by_uri("new").first()["chunks"][0]["text"] == "fresh" and store.find_by_uri("d008").count() == 0
+
+
+def test_validators(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    docs, chunks = prepared(spark, NORTH)
+    for bad, fault in ((docs.withColumn("content_hash", F.lit("fnv1a64:0")), "content_hash"), (docs.withColumn("revision", F.lit(-1).cast("long")), "revision"), (docs.unionByName(docs), "document_key")):
+        with pytest.raises(EngineError, match=fault):
+            store.activate(bad, chunks)
+    with pytest.raises(EngineError, match="norm"):
+        store.activate(docs, chunks.withColumn("embedding", F.transform("embedding", lambda x: x * 2)))
+    with pytest.raises(EngineError, match="chunk_key"):
+        store.activate(docs, chunks.withColumn("chunk_key", F.lit("same")))
+    assert store.generation == 0
+
+
+@pytest.mark.parametrize("damage", ["embedding", "text", "metadata"])
+def test_a_damaged_copy_fails(spark, tmp_path, damage):
+    a = Store(spark, f"file://{tmp_path}/a")
+    a.activate(*prepared(spark, NORTH, SOUTH))
+
+    class Damaging(migration.StoreEndpoint):
+        def chunks(self):
+            c = super().chunks()
+            if damage == "embedding":
+                return c.withColumn("embedding", F.when(F.col("text") == "alpha harbor", F.reverse("embedding")).otherwise(F.col("embedding")))
+            return c.withColumn("text", F.concat("text", F.lit("!"))) if damage == "text" else c
+
+        def documents(self):
+            d = super().documents()
+            return d.withColumn("metadata", F.create_map(F.lit("tenant"), F.lit("east"))) if damage == "metadata" else d
+
+    with pytest.raises(EngineError, match="differ"):
+        migration.migrate(migration.StoreEndpoint(a), Damaging(Store(spark, f"file://{tmp_path}/b")))
+    assert migration.migrate(migration.StoreEndpoint(a), migration.StoreEndpoint(Store(spark, f"file://{tmp_path}/c"))).chunks == 3
+
+
+def test_jdbc_ranges_hold_every_key_once():
+    import bisect
+
+    e = migration.JdbcEndpoint(None, "jdbc:none", partitions=4)
+    keys = sorted(f"k{i:03}" for i in range(40)) + ["o'x"]
+    conditions = e.ranges(sorted(keys))
+    assert len(conditions) == 4 and conditions[0].endswith("IS NULL") and e.ranges([]) == ["1 = 1"]
+    edges = [c.split("'")[1] for c in conditions[1:]]
+    assert edges == sorted(edges) and len({bisect.bisect_right(edges, k) for k in keys}) == 4
+    assert "o''x" in " ".join(migration.JdbcEndpoint(None, "", partitions=2).ranges(["a", "o'x"]))
+    assert e.merge_statements("chunks")[0].startswith("DELETE")
+
+
+def test_job_log_survives_a_torn_compaction(spark, tmp_path):
+    log = jobs.JobLog(spark, f"file://{tmp_path}/log")
+    frame = lambda *r: spark.createDataFrame(list(r), jobs.JobLog.SCHEMA)
+    log.append(frame((1, "a", 1, "d", "upsert", 1, "h", "ready", 1, 1)))
+    frame().write.parquet(log._at(1))  # a compaction that died before its mark
+    assert log.version() == 0 and log.latest().count() == 1
+    assert log.compact() == 1 and log.version() == 1
+    log.append(frame((2, "b", 1, "d", "upsert", 1, "h", "ready", 1, 2)))
+    assert log.latest().count() == 2 and log.compact() == 2 and log.version() == 2
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from siftwell import session
+
+    monkeypatch.setattr(session, "ship_package", lambda s: None)
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="x", master="spark://host:7077", getConf=lambda: conf), conf=conf)
+    with pytest.raises(EngineError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake)
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    from siftwell import session
+
+    with session.scratch(spark):
+        df = session.materialize(spark.range(3), "within")
+        assert df.count() == 3
+        path = session._SCOPES[-1][0].removeprefix("file://").removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
