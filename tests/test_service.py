@@ -6,9 +6,10 @@ from siftwell import evaluate, migrate, schema
 from siftwell.errors import EngineError
 from siftwell.functions.register import register
 from siftwell.functions.vectors import HttpEmbedder
-from siftwell.operators import lexical
+from siftwell.operators import dense, lexical
 from siftwell.service import Service
 from siftwell.sources import payloads, sidecar
+from siftwell.sources.store import prepare
 from tests.conftest import rows
 from tests.test_retrieval import CORPUS
 
@@ -40,6 +41,37 @@ def test_service(spark, tmp_path):
     assert s.search("{}")[0] == 400
 
 
+def test_a_service_started_again_takes_up_its_jobs(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    s = Service(spark, path)
+    done = s.ingest(doc("a", "alpha text"))[1]["job_id"]
+    old = s.ingest(doc("b", "first"), True)[1]["job_id"]
+    new = s.ingest(doc("b", "second"), True)[1]["job_id"]
+    published = s.ingest(doc("c", "gamma text"), True)[1]
+    d = s.waiting.pop("c")
+    s.store.activate(*prepare(spark.createDataFrame([("c", d[0].revision, "c", "gamma text", {})], "doc_key string, revision long, title string, content string, metadata map<string,string>"), s.options, s.embedder))  # published, then the service died
+    again = Service(spark, path)
+    status = {j: again.job(j)[1]["status"] for j in (done, old, new, published["job_id"])}
+    assert status == {done: "ready", old: "superseded", new: "queued", published["job_id"]: "ready"}
+    assert again.run_queue() == 1 and again.job(new)[1]["status"] == "ready"
+    assert rows(again.store.table("documents").select("doc_key", "content")) == [("a", "alpha text"), ("b", "second"), ("c", "gamma text")]
+    assert Service(spark, path).waiting == {}
+
+
+def test_kept_indexes(spark, tmp_path, monkeypatch):
+    """The second service opens the indexes of the first; searches go through the lists when asked for."""
+    path = f"file://{tmp_path}/store"
+    s = Service(spark, path, algorithm="ivf")
+    for i in range(3):
+        s.ingest(doc(f"d{i}", f"passage number {i} about harbours"), True)
+    assert s.run_queue() == 3
+    one = s.search(json.dumps({"query": "harbours passage"}))[1]
+    assert len(one["results"]) == 3 and isinstance(s.corpus().dense, dense.ListIndex)
+    monkeypatch.setattr(dense.InvertedLists, "fit", lambda *a, **k: pytest.fail("built again"))
+    monkeypatch.setattr(lexical, "build", lambda *a, **k: pytest.fail("built again"))
+    assert Service(spark, path, algorithm="ivf").search(json.dumps({"query": "harbours passage"}))[1] == one
+
+
 def test_failed_embedding_keeps_the_old_revision(spark, tmp_path):
     s = Service(spark, f"file://{tmp_path}/store")
     s.ingest(doc("a", "first text"))
