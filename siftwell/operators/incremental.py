@@ -1,7 +1,7 @@
 """Only new or changed records: a versioned ledger of keys and content hashes.
 
-``changed_records`` joins hashed current rows with the ledger's state; ``Ledger`` persists that state in
-immutable versions and swaps the version pointer atomically, after the caller's work has succeeded.
+``changed_records`` joins hashed current rows with the ledger's state; ``Ledger`` persists that state in immutable segments, one
+per version with what it changed, and swaps the version pointer atomically, after the caller's work has succeeded.
 
 Defined results
 - null content hash: equals nothing, so a live record without a hash is always selected again;
@@ -72,14 +72,17 @@ def mark_missing(current: DataFrame, state: DataFrame, keys: list[str]) -> DataF
 
 
 class Ledger:
-    """State of a consumer: one immutable folder per version and a pointer file that is replaced by a rename.
+    """State of a consumer: a list of immutable segments and a pointer file that is replaced by a rename.
 
-    A run is ``begin`` (writes the next version and the change set beside it), the caller's work on ``Run.changes``, and
+    A version adds a segment with the keys it touched, so a run writes what changed and not the whole state; the latest segment that has a
+    key decides. Every ``SEGMENTS`` versions they are folded into one. A run is ``begin`` (writes the next version and the change set beside it), the caller's work on ``Run.changes``, and
     ``commit``. Until the commit readers see the old version; a run that dies leaves it untouched and its
     records are selected again by the next run, none is skipped and none that was committed is repeated. Two runs that
     race are told apart by the version they started from: the later commit raises.
     """
 
+    SEGMENTS = 16
+
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
 
@@ -89,20 +92,29 @@ class Ledger:
         return jvm, p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def pointer(self) -> dict:
-        """{"version": n, "state": path} of the last commit; version 0 before the first."""
+        """{"version": n, "state": segments} of the last commit; version 0 before the first."""
         jvm, folder, fs = self._fs(f"{self.path}/commits")
         if not fs.exists(folder):
-            return {"version": 0, "state": None}
+            return {"version": 0, "state": []}
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
         if not names:
-            return {"version": 0, "state": None}
+            return {"version": 0, "state": []}
         text = self.spark.sparkContext.wholeTextFiles(f"{self.path}/commits/{names[-1]}").values().first()
         return json.loads(text)
 
     def state(self) -> DataFrame | None:
         """The committed state, or None before the first commit."""
         at = self.pointer()["state"]
-        return self.spark.read.parquet(at) if at else None
+        return self._merged([self.spark.read.parquet(p) for p in at]) if at else None
+
+    def _merged(self, segments: list[DataFrame]) -> DataFrame:
+        """The last row of each key; a fold in each task before one shuffle."""
+        columns = [*self.keys, "deleted", "digest"]
+        if len(segments) == 1:
+            return segments[0].select(*columns)
+        rows = reduce(DataFrame.unionByName, [d.select(*columns, F.lit(i).alias("_n")) for i, d in enumerate(segments)])
+        last = rows.groupBy(*self.keys).agg(F.max(F.struct("_n", "deleted", "digest")).alias("_l"))
+        return last.select(*self.keys, F.col("_l.deleted").alias("deleted"), F.col("_l.digest").alias("digest"))
 
     def begin(self, current: DataFrame, full_snapshot: bool = False) -> Run:
         """Select the changes of ``current`` (keys, deleted, digest and any payload) and stage the next version."""
@@ -117,24 +129,25 @@ class Ledger:
         changed_records(current, state, self.keys).write.parquet(changes_path)
         changes = self.spark.read.parquet(changes_path)
         touched = changes.select(*self.keys, "deleted", "digest")
-        on = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in self.keys])
-        kept = state.select(*self.keys, "deleted", "digest").alias("s").join(touched.alias("t"), on, "left_anti")
-        kept.unionByName(touched).write.parquet(state_path)
-        return Run(self, base["version"], token, changes, changes_path, state_path)
+        segments = [*base["state"], state_path]
+        if len(segments) > self.SEGMENTS:
+            touched, segments = self._merged([*[self.spark.read.parquet(p) for p in base["state"]], touched]), [state_path]
+        touched.write.parquet(state_path)
+        return Run(self, base["version"], token, changes, changes_path, state_path, segments)
 
     def seed(self, state: DataFrame) -> DataFrame:
         """Commit a state that is known from elsewhere (keys, deleted, digest) and return it as read back."""
         base, token = self.pointer(), uuid.uuid4().hex
         path = f"{self.path}/versions/{base['version'] + 1:010d}-{token}"
         state.select(*self.keys, "deleted", "digest").write.parquet(path)
-        self._swap(base["version"], path)
+        self._swap(base["version"], [path])
         return self.spark.read.parquet(path)
 
-    def _swap(self, base: int, state_path: str) -> None:
+    def _swap(self, base: int, segments: list[str]) -> None:
         jvm, temp, fs = self._fs(f"{self.path}/commits/.{uuid.uuid4().hex}.tmp")
         _, final, _ = self._fs(f"{self.path}/commits/{base + 1:010d}.json")
         out = fs.create(temp, False)
-        out.write(bytearray(json.dumps({"version": base + 1, "state": state_path}).encode()))
+        out.write(bytearray(json.dumps({"version": base + 1, "state": segments}).encode()))
         out.close()
         if fs.exists(final) or not fs.rename(temp, final):
             fs.delete(temp, False)
@@ -144,13 +157,13 @@ class Ledger:
 class Run:
     """One staged run of a ledger."""
 
-    def __init__(self, ledger: Ledger, base: int, token: str, changes: DataFrame, changes_path: str, state_path: str):
+    def __init__(self, ledger: Ledger, base: int, token: str, changes: DataFrame, changes_path: str, state_path: str, segments: list[str]):
         self.ledger, self.base, self.token, self.changes = ledger, base, token, changes
-        self._changes_path, self._state_path = changes_path, state_path
+        self._changes_path, self._state_path, self._segments = changes_path, state_path, segments
 
     def commit(self) -> int:
         """Make the staged version current; the number of the version."""
-        self.ledger._swap(self.base, self._state_path)
+        self.ledger._swap(self.base, self._segments)
         return self.base + 1
 
     def abandon(self) -> None:

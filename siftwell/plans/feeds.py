@@ -14,8 +14,8 @@ KEYS = ["corpus_id", "external_id"]
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose current state no migration run has safely carried yet.
 
-    The carried state goes into a ledger (keys and digests) and is committed there; the hashed current rows are then
-    joined with the ledger's state.
+    The carried state is the ledger's first version (keys and digests). A run joins the hashed current rows with it, stages its changes and
+    the next version, and commits; the result are the changes of the committed run.
     """
     revisions = table(spark, sf_dir, "document_revisions")
     digest = F.when(F.col("content_hash").isNotNull(), incremental.content_digest("content_hash"))
@@ -23,7 +23,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = incremental.carried(revisions, table(spark, sf_dir, "migration_runs"), KEYS, "external_id")
     state = incremental.latest_state(done, KEYS, ["revision", "recorded_at"], digest, F.col("deleted"))
     ledger = incremental.Ledger(spark, fresh_path(spark, "ledger"), KEYS)
-    return incremental.changed_records(current, ledger.seed(state), KEYS).select(*KEYS, "revision")
+    ledger.seed(state)
+    run = ledger.begin(current)
+    run.commit()
+    return run.changes.select(*KEYS, "revision")
 
 
 P1_SQL = """

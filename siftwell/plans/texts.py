@@ -194,16 +194,28 @@ SELECT DISTINCT corpus_id, external_id, fault FROM (SELECT *, CASE WHEN len(k) >
 
 
 def utf8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as bytes, checked and repaired; CRC-32 of the bytes."""
+    """Texts as bytes, whole and with a byte that no UTF-8 text has before and after: checked and repaired."""
     raw = F.encode(F.col("text"), "utf-8")
-    return documents(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.is_valid_utf8(raw.cast("string")).alias("valid"), F.octet_length(text.valid_text(raw.cast("string"))).alias("bytes"), F.crc32(raw).alias("crc32"))
+    broken = F.concat(F.unhex(F.lit("FF")), raw, F.unhex(F.lit("C3")))
+    as_text = lambda b: b.cast("string")
+    return documents(spark, sf_dir).filter("text IS NOT NULL").select(
+        "doc_id", F.is_valid_utf8(as_text(raw)).alias("valid"), F.is_valid_utf8(as_text(broken)).alias("broken_valid"), F.octet_length(text.valid_text(as_text(broken))).alias("repaired_bytes"), (text.valid_text(as_text(raw)) == F.col("text")).alias("unchanged")
+    )
+
+
+UTF8_SQL = "SELECT doc_id, true AS valid, false AS broken_valid, (strlen(text) + 6)::INTEGER AS repaired_bytes, true AS unchanged FROM documents WHERE text IS NOT NULL"
+
+
+def crc32_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 of the texts' bytes, as a log's records carry it."""
+    return documents(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.crc32(F.encode(F.col("text"), "utf-8")).alias("crc32"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_newlines, tokenize_terms, doc_token_counts, term_frequency, document_frequency, idf_table, porter_stems, fnv_content_hash, chunk_keys, hash_embedding, heading_levels,
-        line_chunks, chunk_structural, chunk_service, chunk_lines_simple, indexed_texts, metadata_json, tag_faults, utf8_checks,
+        line_chunks, chunk_structural, chunk_service, chunk_lines_simple, indexed_texts, metadata_json, tag_faults, utf8_checks, crc32_checks,
     )
 }
 ORACLE = {
@@ -222,4 +234,5 @@ ORACLE = {
     "indexed_texts": INDEXED_SQL,
     "metadata_json": METADATA_SQL,
     "tag_faults": TAG_SQL,
+    "utf8_checks": UTF8_SQL,
 }

@@ -154,3 +154,19 @@ def test_levels_of_ranges(spark):
     assert n == 0 and shift == differences._LINE_BITS - 2
     got = differences.differences(left, right, ["c", "k"], {"v": F.col("v")}, [], ("only right", "only left"))
     assert sorted(rows(got)) == [(5, "k5", "v"), (1700, "k1700", "v"), (2999, "k2999", "only left")]
+
+
+def test_ledger_writes_only_what_changed(spark, tmp_path):
+    ledger = incremental.Ledger(spark, f"file://{tmp_path}/ledger", ["k"])
+    frame = lambda *r: spark.createDataFrame(list(r), "k int, deleted boolean, digest string")
+    state = {}
+    for n in range(20):
+        change = frame(*[(i, i == n - 1, f"{n}-{i}") for i in (n, max(0, n - 1))] if n else [(0, False, "0-0")])
+        run = ledger.begin(change.dropDuplicates(["k"]))
+        got = rows(run.changes.select("k", "deleted", "digest"))
+        run.commit()
+        state |= {k: (k, d, h) for k, d, h in got}
+        if n == 3:
+            assert [spark.read.parquet(p).count() for p in ledger.pointer()["state"]] == [1, 2, 2, 2]
+    assert ledger.pointer()["version"] == 20 and len(ledger.pointer()["state"]) <= ledger.SEGMENTS
+    assert rows(ledger.state()) == sorted(state.values(), key=repr)
