@@ -27,7 +27,8 @@ FINITE = "{0} IS NOT NULL AND NOT isnan({0}) AND abs({0}) < double('infinity')"
 
 def list_ranks(lists: DataFrame) -> DataFrame:
     """(query_id, list_no, weight, item, place, rank, tied, ranked): each usable hit with its ordinal place (ties by item), its
-    averaged competition rank, the number of items that share its score and the number of items its list ranks."""
+    averaged competition rank, the number of items that share its score and the number of items its list ranks. A list is the
+    array of one row, so no window holds more than one record had."""
     one = (
         lists.select("query_id", "list_no", F.struct(F.col("weight").cast("double").alias("weight"), "score_type", "hits").alias("row"))
         .filter(FINITE.format("row.weight") + " AND row.weight >= 0")
