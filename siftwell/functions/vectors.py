@@ -180,3 +180,11 @@ def embedded(df: DataFrame, text: str, embedder: Embedder, output: str = "embedd
             yield frame.assign(**{output: list(v)})
 
     return df.mapInPandas(run, schema)
+
+
+def with_supplied(df: DataFrame, text: str, vectors: DataFrame, output: str = "embedding") -> DataFrame:
+    """Adds the vector that comes with the data for a text, from (text, vector) with distinct texts, by a join; a text without one is an error."""
+    v = vectors.select(F.col("text").alias("_text"), F.col("vector").cast("array<float>").alias("_vector"))
+    j = df.join(v, F.col(text) == F.col("_text"), "left")
+    known = F.when(F.col("_vector").isNull(), F.raise_error(F.concat(F.lit("not_found: no vector for "), F.substring(F.coalesce(F.col(text), F.lit("null")), 1, 80)))).otherwise(F.col("_vector"))
+    return j.withColumn(output, known).drop("_text", "_vector")

@@ -33,3 +33,23 @@ def positions(df: DataFrame, group: list[str], bucket: Column, order: list[Colum
     if weight:
         out = out.withColumn(running or "running", F.col("_local_sum") + F.col("_sum_before"))
     return out.drop("_bucket", "_b", "_before", "_local", "_local_sum", "_sum_before", *[f"_g{i}" for i in range(len(group))])
+
+
+def running_max(df: DataFrame, group: list[str], order: Column, ties: list[Column], value: str, output: str, buckets: int = 256) -> DataFrame:
+    """Adds the greatest ``value`` of the rows before each row of its group by (``order``, ``ties``); null for the first.
+
+    ``order`` is a number. It is cut into buckets over its whole range; what came before a row's bucket is a running maximum over
+    the buckets, so a hot group is spread over as many tasks as it has buckets.
+    """
+    edge = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    lo, width = edge["lo"] or 0, max(1, (edge["hi"] or 0) - (edge["lo"] or 0))
+    rows = df.withColumn("_bucket", F.coalesce(F.floor((order - F.lit(lo)) * F.lit(buckets) / F.lit(width)), F.lit(-1)).cast("long"))
+    per = rows.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b")).agg(F.max(value).alias("_m"))
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.max("_m").over(before)).drop("_m")
+    on = F.col("_bucket") == F.col("_b")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    within = Window.partitionBy(*group, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_own", F.max(value).over(within)).join(per, on)
+    return out.withColumn(output, F.greatest("_own", "_before")).drop("_bucket", "_b", "_own", "_before", *[f"_g{i}" for i in range(len(group))])

@@ -12,6 +12,7 @@ from siftwell.errors import MAX_TOP_K, EngineError
 from siftwell.functions.filters import MetadataFilter
 from siftwell.functions.text import tokens
 from siftwell.operators import dense, fusion, lexical
+from siftwell.operators.protocols import DenseRetriever, LexicalRetriever, Retriever
 from siftwell.session import materialize
 
 MODES = ("hybrid", "lexical", "dense")
@@ -73,25 +74,16 @@ class Trace:
 
 def candidates(corpus: Corpus, queries: DataFrame, mode: str, k: int, wanted: MetadataFilter | Column | None, profile: Profile) -> DataFrame:
     """(query_id, chunk_key, score, rank) of one retriever or of both fused; filters apply before any truncation."""
-    allowed = corpus.allowed(wanted)
-    lists = []
-    if mode in ("hybrid", "lexical"):
-        lists.append((lexical.search(corpus.index, queries, "query_id", "text", k, allowed), profile.lexical_weight))
-    if mode in ("hybrid", "dense"):
-        if corpus.vectors is None:
-            raise EngineError("unsupported", "the corpus has no vectors")
-        asking = queries.filter("vector IS NOT NULL")
-        if allowed is None and corpus.dense is not None:
-            found = corpus.dense.search(asking, k)
-        else:
-            vectors = corpus.vectors
-            if allowed is not None:  # among few allowed vectors lists would miss some: filtered searches are exact
-                vectors = vectors.join(corpus.chunks.filter(allowed).select("chunk_key"), F.col("key") == F.col("chunk_key"), "left_semi")
-            found = dense.batch_search(vectors, asking, k, corpus.dimension)
-        lists.append((found.withColumnRenamed("key", "chunk_key"), profile.dense_weight))
-    if mode != "hybrid":
-        return lists[0][0]
-    return fusion.rrf(lists, profile.rrf_k, k)
+    if mode in ("hybrid", "dense") and corpus.vectors is None:
+        raise EngineError("unsupported", "the corpus has no vectors")
+    both = [("lexical", LexicalRetriever(corpus.index), profile.lexical_weight), ("dense", DenseRetriever(corpus.chunks, corpus.vectors, corpus.dimension, corpus.dense), profile.dense_weight)]
+    return retrieved([(r, w) for name, r, w in both if mode in (name, "hybrid")], queries, k, corpus.allowed(wanted), profile.rrf_k)
+
+
+def retrieved(retrievers: list[tuple[Retriever, float]], queries: DataFrame, k: int, allowed: Column | None = None, rrf_k: float = fusion.RRF_K) -> DataFrame:
+    """The candidates of any retrievers, fused by reciprocal ranks if there are several."""
+    lists = [(r.retrieve(queries, k, allowed), w) for r, w in retrievers]
+    return lists[0][0] if len(lists) == 1 else fusion.rrf(lists, rrf_k, k)
 
 
 def reranked(corpus: Corpus, queries: DataFrame, found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from siftwell.functions.chunking import ChunkOptions
 from siftwell.functions.text import normalized_newlines
 from siftwell.functions.vectors import HashEmbedder
 from siftwell.operators import evaluation, lexical, migration
+from siftwell.operators.ranking import running_max
 from siftwell.plans.retrieval import corpus, queries_of
 from siftwell.plans.texts import _TF, sql_tokens
 from siftwell.session import fresh_path, materialize, table
@@ -31,11 +32,9 @@ def active_after_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stale_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisions recorded after a higher one of the same document: an activation in order of recording would reject them."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "document_revisions").select(*KEYS, "revision", "recorded_at").distinct()
-    before = Window.partitionBy(*KEYS).orderBy("recorded_at", "revision").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("known", F.max("revision").over(before)).filter("known >= revision").select(*KEYS, "revision", "known").distinct()
+    known = running_max(rows, KEYS, F.unix_micros("recorded_at"), [F.col("revision")], "revision", "known")
+    return known.filter("known >= revision").select(*KEYS, "revision", "known").distinct()
 
 
 def job_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:

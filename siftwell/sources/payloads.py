@@ -73,3 +73,18 @@ def synthetic_vectors(spark: SparkSession, rows: int, dimension: int, seed: int
             yield pd.DataFrame({"key": f["id"], "vector": list(out.astype(np.float32))})
 
     return spark.range(0, rows, 1, partitions).mapInPandas(run, "key bigint, vector array<float>")
+
+
+def perturbed_queries(vectors: DataFrame, queries: int, noise: float = 0.05, seed: int = 11) -> DataFrame:
+    """(query_id, vector): the vectors of the keys under ``queries``, each moved by noise of that length and made a unit vector again."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for key, v in zip(f["key"], f["vector"], strict=True):
+                step = np.random.default_rng([seed, int(key)]).normal(size=len(v))
+                moved = v + noise * step / np.linalg.norm(step)
+                out.append((moved / np.linalg.norm(moved)).astype(np.float32))
+            yield pd.DataFrame({"query_id": f["key"], "vector": out})
+
+    return vectors.filter(F.col("key") < queries).select("key", "vector").mapInPandas(run, "query_id bigint, vector array<float>")

@@ -170,3 +170,15 @@ def test_ledger_writes_only_what_changed(spark, tmp_path):
             assert [spark.read.parquet(p).count() for p in ledger.pointer()["state"]] == [1, 2, 2, 2]
     assert ledger.pointer()["version"] == 20 and len(ledger.pointer()["state"]) <= ledger.SEGMENTS
     assert rows(ledger.state()) == sorted(state.values(), key=repr)
+
+
+def test_running_max(spark):
+    r = random.Random(9)
+    data = [(r.choice(["hot", "hot", "a", None]), r.randrange(500), i, r.randrange(100)) for i in range(600)]
+    got = ranking.running_max(spark.createDataFrame(data, "g string, t long, i int, v int"), ["g"], F.col("t"), [F.col("i")], "v", "before", 16)
+    want = []
+    for x in data:
+        earlier = [y[3] for y in data if y[0] == x[0] and (y[1], y[2]) < (x[1], x[2])]
+        want.append((*x, max(earlier) if earlier else None))
+    assert rows(got) == sorted(want, key=repr)
+    assert ranking.running_max(spark.createDataFrame([], "g string, t long, v int"), ["g"], F.col("t"), [], "v", "before").count() == 0

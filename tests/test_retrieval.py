@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell import evaluate
 from siftwell.errors import EngineError
 from siftwell.operators import dense, evaluation, fusion, lexical, search
+from siftwell.operators.protocols import LexicalRetriever
 from siftwell.plans import retrieval
 from siftwell.sources import payloads
 from tests.conftest import rows
@@ -272,3 +273,30 @@ def test_a_missing_chunk_is_an_error(spark, corpus):
     found = spark.createDataFrame([(1, 1, 0.5, "no such chunk")], "query_id int, rank int, score double, chunk_key string")
     with pytest.raises(Exception, match="corrupt_index"):
         search.resolved(corpus, found).collect()
+
+
+def test_other_retrievers_can_be_fused(spark, corpus):
+    class Fixed:
+        def retrieve(self, queries, k, allowed=None):
+            return queries.select("query_id", F.lit("c3").alias("chunk_key"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    got = search.retrieved([(LexicalRetriever(corpus.index), 1.0), (Fixed(), 5.0)], asked(spark, "alpha"), 5)
+    assert sorted(got.collect(), key=lambda r: r["rank"])[0]["chunk_key"] == "c3"
+
+
+def test_perturbed_queries(spark):
+    v = payloads.synthetic_vectors(spark, 200, 16).cache()
+    q = payloads.perturbed_queries(v, 9)
+    assert q.count() == 9 and rows(q) == rows(payloads.perturbed_queries(v.repartition(3), 9))
+    found = dense.batch_search(v, q, 1, 16).collect()
+    assert all(r["key"] == r["query_id"] and 0.99 < r["score"] < 1 for r in found)
+
+
+def test_supplied_vectors(spark):
+    from siftwell.functions.vectors import with_supplied
+
+    v = spark.createDataFrame([("a", [1.0, 0.0])], "text string, vector array<float>")
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "i int, t string")
+    assert rows(with_supplied(df, "t", v)) == [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0])]
+    with pytest.raises(Exception, match="no vector for b"):
+        with_supplied(spark.createDataFrame([(1, "b")], "i int, t string"), "t", v).collect()
