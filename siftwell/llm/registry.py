@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import abuse, mixing, neighbours, packing, rank_fusion, splitting, term_weights
+from siftwell.operators import dense
 from siftwell.session import materialize, table
 
 CAPACITY = 2048
@@ -78,6 +79,26 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("corpus_id", "external_id", "ordinal", "level", "start_line", "end_line", "repeated_lines", F.octet_length("text").alias("bytes"), "text")
 
 
+def p4_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new parts of each document's pieces, put together again: the digest of the text, and whether every piece keeps the limit and its lines."""
+    pieces = _pieces(spark, sf_dir)
+    raw = F.encode("text", "utf-8")
+    own = F.concat(raw, F.repeat(F.lit("\n"), (F.col("end_byte") - F.col("start_byte") - F.octet_length("text")).cast("int")).cast("binary"))
+    new = F.substring(own, (F.col("new_byte") - F.col("start_byte") + 1).cast("int"), F.lit(2_147_483_647))
+    lines = F.size(F.split("text", "\n", -1)) == F.col("end_line") - F.col("start_line") + 1
+    rows = pieces.select("corpus_id", "external_id", "ordinal", new.alias("new"), ((F.octet_length("text") <= 1600) & lines).alias("ok"))
+    whole = rows.groupBy("corpus_id", "external_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "new"))).alias("parts"), F.min("ok").alias("within"))
+    joined = F.aggregate("parts", F.lit("").cast("binary"), lambda t, x: F.concat(t, x["new"]))
+    return whole.select("corpus_id", "external_id", F.md5(joined).alias("digest"), "within")
+
+
+P4_ROUND_TRIP_SQL = r"""
+WITH d AS (SELECT corpus_id, external_id, max(content) AS c FROM corpus_documents WHERE content IS NOT NULL GROUP BY ALL),
+n AS (SELECT corpus_id, external_id, replace(replace(c, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS c FROM d)
+SELECT corpus_id, external_id, md5(c) AS digest, true AS within FROM n WHERE strlen(c) > 1600
+"""
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks whose embeddings have a cosine of at least 0.9."""
     pairs, members = neighbours.similar_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", 64, 0.9)
@@ -98,6 +119,26 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", 64, 10).withColumnRenamed("id", "chunk_id")
 
 
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of the chunks whose id is divisible by 20 against an exact search over all: whether nine tenths of the places are as good."""
+    chunks = table(spark, sf_dir, "chunks")
+    v = materialize(dense.usable_vectors(chunks, "chunk_id", "embedding", 64, rescale=True), "vectors")
+    exact = dense.batch_search(v, v.filter("key % 20 = 0").select(F.col("key").alias("query_id"), "vector"), 11, 64).filter("query_id <> key")
+    # the chunk itself is among its eleven nearest, whatever its copies are called
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+    best = exact.withColumn("place", place).filter("place <= 10").select("query_id", "place", "score")
+    found = p5_nearest(spark, sf_dir).filter("chunk_id % 20 = 0")
+    j = best.join(found, (F.col("query_id") == F.col("chunk_id")) & (F.col("place") == F.col("rank")), "left")
+    good = F.coalesce(F.col("similarity") >= F.col("score") - 1e-3, F.lit(False))
+    return j.agg(F.countDistinct("query_id").alias("queries"), (F.avg(good.cast("double")) >= 0.9).alias("reached"))
+
+
+P5_RECALL_SQL = """
+WITH u AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e FROM chunks WHERE len(embedding) = 64 AND chunk_id % 20 = 0)
+SELECT count(DISTINCT chunk_id) AS queries, true AS reached FROM u WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+"""
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three of each query by reciprocal places, looked up among the items whose Borda points let them be there."""
     ranks = materialize(rank_fusion.list_ranks(table(spark, sf_dir, "ranked_lists")), "ranks")
@@ -241,7 +282,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_term_weights, p4_found, p4_pieces, p5_found, p5_nearest, p7_found, p7_ranking, p8_found, p8_packing, p8_containers, p8_tiers, p9_found, p9_draws, p9_shares, p9_epochs, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p2_term_weights, p4_found, p4_pieces, p4_round_trip, p5_found, p5_nearest, p5_recall, p7_found, p7_ranking, p8_found, p8_packing, p8_containers, p8_tiers, p9_found, p9_draws, p9_shares, p9_epochs, p10_found, p10_scores, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -249,7 +290,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2_SQL,
         "p2_term_weights": P2_WEIGHTS_SQL,
         "p4_found": P4_SQL,
+        "p4_round_trip": P4_ROUND_TRIP_SQL,
         "p5_found": P5_SQL,
+        "p5_recall": P5_RECALL_SQL,
         "p7_found": P7_SQL,
         "p7_ranking": P7_RANKING_SQL,
         "p8_found": P8_SQL,
