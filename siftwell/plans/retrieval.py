@@ -253,6 +253,19 @@ def ann_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_figures(spark, sf_dir).select("path", (F.col("recall") >= F.col("gate")).alias("reached"))
 
 
+def rescored_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether codes made on the way, with their pools scored exactly, find nine tenths of the exact ten."""
+    v = materialize(dense.usable_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", DIM), "vectors")
+    q = materialize(v.filter("key % 20 = 0").select(F.col("key").alias("query_id"), "vector"), "queries")
+    exact = materialize(dense.batch_search(v, q, K, DIM), "exact")
+    options = {"sq8": {}, "signs": {"pool": 400}, "prefix": {"pool": 400, "prefix": 32}, "pq": {"pool": 400, "quantizer": dense.sampled_quantizer(v, DIM)}}
+    rows = None
+    for name, o in options.items():
+        one = evaluation.overlap(dense.coarse_then_exact(v, q, K, DIM, name, **o), exact, K).select(F.lit(name).alias("path"), (F.col("overlap") >= 0.9).alias("reached"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def hybrid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search with the dense half through inverted lists, as large corpora get it: whether it finds what the exact one does, at nine tenths or more."""
     c = corpus(spark, sf_dir)
@@ -389,7 +402,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexical_bm25_topk, lexical_bm25_filtered, porter_bm25, lexical_qtf_weighting, term_coverage, dense_exact_topk, dense_filtered_topk, dense_batch_topk, vector_norm_check, sq8_dot, sign_hamming,
-        matryoshka_topk, cosine_scores, vector_columns, ivf_topk, ivf_exhaustive, sq8_rescored_topk, signs_rescored_topk, prefix_rescored_topk, pq_topk, tiered_merge, tiered_candidates, ann_gates, ann_figures, hybrid_lists, rrf_fusion, feature_rerank,
+        matryoshka_topk, cosine_scores, vector_columns, ivf_topk, ivf_exhaustive, sq8_rescored_topk, signs_rescored_topk, prefix_rescored_topk, pq_topk, tiered_merge, tiered_candidates, ann_gates, ann_figures, rescored_gates, hybrid_lists, rrf_fusion, feature_rerank,
         hybrid_search, hybrid_filtered, quality_search, lexical_search_service, mmr_diversify, stitch_adjacent, pipeline_presets, context_packing, jaccard_pairs, filter_any_of, filter_empty_matches_none, filter_per_query,
     )
 }
@@ -417,6 +430,7 @@ ORACLE = {
     "tiered_merge": _TIERED,
     "tiered_candidates": _TIERED,
     "ann_gates": "SELECT unnest(['exact', 'ivf', 'ivf_sq8', 'ivf_pq', 'ivf_default']) AS path, true AS reached",
+    "rescored_gates": "SELECT unnest(['sq8', 'signs', 'prefix', 'pq']) AS path, true AS reached",
     "hybrid_lists": "SELECT count(DISTINCT chunk_id) AS queries, true AS reached FROM chunks WHERE chunk_id % 20 = 0",
     "vector_columns": VECTOR_COLUMNS_SQL,
     "rrf_fusion": _RRF + " SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM fu WHERE rank <= 10",
