@@ -233,11 +233,27 @@ def test_many_queries_in_bounded_blocks(spark, monkeypatch):
 
     v = payloads.synthetic_vectors(spark, 400, 8).cache()
     q = payloads.synthetic_vectors(spark, 70_000, 8, seed=5).withColumnRenamed("key", "query_id").cache()
-    got = dense.batch_search(v, q, 3, 8).filter("query_id < 20")
+    uneven = v.filter("key < 3").coalesce(1).unionByName(v.filter("key >= 3").coalesce(1)).coalesce(1)  # batches of several sizes in one task
+    got = dense.batch_search(uneven, q, 3, 8).filter("query_id < 20")
     assert rows(got) == rows(dense.batch_search(v, q.filter("query_id < 20"), 3, 8))
     assert blocks.CELLS * 8 <= 64 << 20
 
 
+@pytest.mark.parametrize("rows_a_batch", [7, 1000])
+def test_batches_of_any_size(spark, rows_a_batch):
+    """More queries than a step takes, batches of uneven sizes."""
+    v = payloads.synthetic_vectors(spark, 900, 8, partitions=2).cache()
+    q = v.withColumnRenamed("key", "query_id")
+    m = np.array([r["vector"] for r in v.orderBy("key").collect()])
+    want = {(i, int(k)) for i in range(900) for k in np.argsort(-(m[i] @ m.T), kind="stable")[:3]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        for found in (dense.batch_search(v, q, 3, 8), dense.coarse_then_exact(v, q, 3, 8, "prefix", 900, prefix=8), dense.coded_products(v, q, 3, 8, "cosine"), dense.InvertedLists.fit(v, 8, 5).search(q, 3, 5)):
+            assert {(r["query_id"], r["key"]) for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_ties_across_batches(spark):
     df = spark.createDataFrame([(f"k{i:03d}", [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(100)], "key string, vector array<float>").repartition(7)
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<float>")
