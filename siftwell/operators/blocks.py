@@ -13,11 +13,19 @@ CELLS = 4_000_000
 
 def best_columns(s: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of each row, ties by the smaller column."""
-    k = min(k, s.shape[1])
-    if k < s.shape[1]:
-        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-        s = np.where(s >= edge, s, -np.inf)
-    return np.argsort(-s, axis=1, kind="stable")[:, :k]
+    n = s.shape[1]
+    if k >= n:
+        return np.argsort(-s, axis=1, kind="stable")
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    value = np.take_along_axis(s, near, 1)
+    edge = value.min(axis=1)
+    tied = np.flatnonzero((s >= edge[:, None]).sum(axis=1) > k)  # which of the equal ones were taken is left to chance there
+    near.sort(axis=1)
+    o = np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable")
+    near = np.take_along_axis(near, o, 1)
+    if len(tied):
+        near[tied] = np.argsort(-np.where(s[tied] >= edge[tied, None], s[tied], -np.inf), axis=1, kind="stable")[:, :k]
+    return near
 
 
 def key_array(column: pa.Array) -> np.ndarray:
@@ -35,6 +43,29 @@ class Best:
         self.k = k
         self.blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # first query -> (keys, scores)
 
+    def least(self, first: int, rows: int) -> np.ndarray:
+        """The score that a row must reach to be kept, for the queries from ``first`` on."""
+        if first in self.blocks and self.blocks[first][1].shape[1] >= self.k:
+            return self.blocks[first][1].min(axis=1)
+        return np.full(rows, -np.inf)
+
+    def add_sparse(self, first: int, rows: int, line: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
+        """Rows as (query, key, score), queries in order."""
+        counts = np.bincount(line, minlength=rows)
+        if len(line):
+            at = np.arange(len(line)) - (np.cumsum(counts) - counts)[line]
+            wide, value = np.zeros((rows, counts.max()), keys.dtype), np.full((rows, counts.max()), -np.inf)
+            wide[line, at], value[line, at] = keys, scores
+            self.add(first, wide, value)
+
+    def add_matrix(self, first: int, keys: np.ndarray, s: np.ndarray) -> None:
+        """The scores of all rows, in the order of their keys; after the first rows few reach what is kept, and only those are looked at."""
+        edge = self.least(first, len(s))
+        if s.shape[1] > self.k and not np.isfinite(edge).all():
+            edge = np.maximum(edge, -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1])
+        line, at = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+        self.add_sparse(first, len(s), line, keys[at], s[line, at])
+
     def add(self, first: int, keys: np.ndarray, scores: np.ndarray) -> None:
         """Rows found for the queries from ``first`` on, a line for each."""
         if first in self.blocks:

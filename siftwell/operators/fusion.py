@@ -52,6 +52,8 @@ def coverage_rerank(candidates: DataFrame, coverage: Column, has_terms: Column)
 
 def _mmr(frame: pd.DataFrame, k: int, lam: float) -> pd.DataFrame:
     frame = frame.sort_values("rank")
+    if not len(frame):
+        return frame
     relevance = frame["score"].to_numpy(float)
     span = np.ptp(relevance) if len(relevance) else 0.0
     relevance = (relevance - relevance.min()) / (span if span > 1e-9 else 1.0)

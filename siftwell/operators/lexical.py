@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.operators.blocks import CELLS, Best, best_columns, key_array
+from siftwell.operators.blocks import CELLS, Best, key_array
 from siftwell.session import fresh_path, materialize
 
 K1, B = 1.2, 0.75
@@ -253,10 +253,7 @@ def best_by_blocks(index: LexicalIndex, q: DataFrame, k: int, allowed: Column |
                     order = np.argsort(keys, kind="stable")
                     keys = keys[order]
                     for first, s in _sums(b, block, average):
-                        s = s[:, order]
-                        near = best_columns(np.where(s > 0, s, -np.inf), k)
-                        value = np.take_along_axis(s, near, 1)
-                        best.add(first, keys[near], np.where(value > 0, value, -np.inf))
+                        best.add_matrix(first, keys, np.where(s > 0, s, -np.inf)[:, order])
             yield from best.batches(block.ids, key_type, ["query_id", "chunk_key", "score"])
 
         one = chunks.mapInArrow(run, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.errors import MAX_TOP_K, EngineError
@@ -95,17 +95,27 @@ def reranked(corpus: Corpus, queries: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def diversified(corpus: Corpus, found: DataFrame, k: int, profile: Profile) -> DataFrame:
-    """MMR to k, then stitching; the result may have fewer than k rows."""
-    lines = corpus.chunks.select("chunk_key", "document_id", "document_revision", "start_line", "end_line", F.col("text").alias("_text"))
-    rows = found.join(lines, "chunk_key")
+    """MMR to k, then stitching; the result may have fewer than k rows.
+
+    Terms are only needed by queries of which some candidate has no vector, so only those candidates' texts are read. The wide columns
+    are joined last, by chunk, and shuffled once, by query.
+    """
+    found = materialize(found.select("query_id", "chunk_key", "score", "rank"), "ranked")
+    lines = corpus.chunks.select("chunk_key", "document_id", "document_revision", "start_line", "end_line")
+    rows, bare = found, found
+    if corpus.vectors is not None:
+        bare = found.join(corpus.vectors.select(F.col("key").alias("_v")), F.col("chunk_key") == F.col("_v"), "left_anti")
+    bare = materialize(bare.select(F.col("query_id").alias("_q")).distinct(), "bare")
+    if bare.isEmpty():
+        rows = rows.withColumn("terms", F.lit(None).cast("array<string>"))
+    else:
+        terms = found.join(bare, F.col("query_id") == F.col("_q"), "left_semi").select("query_id", "chunk_key").join(corpus.chunks.select("chunk_key", tokens(F.col("text"), drop_stopwords=corpus.index.options.drop_stopwords).alias("terms")), "chunk_key")
+        rows = rows.join(terms, ["query_id", "chunk_key"], "left")
+    rows = rows.join(lines, "chunk_key")
     if corpus.vectors is not None:
         rows = rows.join(corpus.vectors.select(F.col("key").alias("chunk_key"), F.col("vector").alias("embedding")), "chunk_key", "left")
     else:
         rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
-    # terms are only needed by queries of which some candidate has no vector, and only candidates are tokenised
-    bare = F.max(F.col("embedding").isNull()).over(Window.partitionBy("query_id"))
-    terms = F.when(F.col("_bare"), tokens(F.col("_text"), drop_stopwords=corpus.index.options.drop_stopwords))
-    rows = rows.withColumn("_bare", bare).withColumn("terms", terms).drop("_text", "_bare")
     return fusion.stitch(fusion.mmr(rows, k, profile.lam), profile.max_gap).select("query_id", "chunk_key", "score", "rank")
 
 
