@@ -57,10 +57,10 @@ LOOKALIKES = str.maketrans("аесорхуіјѕԁһкмтвнгАЕСОРХУІ
 #: Digits and signs used as letters.
 LEET = str.maketrans("013457@$!89", "oieastasibg")
 #: Letters of scripts written without blanks, each a word of its own (South-East Asian, Tibetan, kana, Han).
-UNSPACED = "฀-࿿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-鿿가-힯豈-﫿\U00020000-\U0003ffff"
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
 
 _SENTENCE_END = re.compile(r"[\n\r]+|(?<=[.!?…。！？;])[\"')\]”»]*\s+|(?<=[。！？])")
-_HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W_](?: [^\W_*]){2,}(?![^\W\d_])")
 _INNER = re.compile(r"(?<=[^\W_])[-_.·~'’](?=[^\W_])")
 _INNER_MARK = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
@@ -69,7 +69,7 @@ _ODD = re.compile(r"[^\W_][-_.·~'’!][^\W_]|[^\W\d_][*!_]*[013457@$]|[013457@$
 _STRETCHED = re.compile(r"(\w)\1+")
 _WORD = re.compile(f"[{UNSPACED}]|[\\w*@$]+")
 _SIGNED_WORD, _LEET_SIGN, _LETTER, _DIGIT = re.compile(r"[\w@$!*]+"), re.compile("[013457@$]"), re.compile(r"[^\W\d_]"), re.compile(r"\d")
-_CYRILLIC = re.compile("[Ͱ-ԯ]")
+_CYRILLIC = re.compile("[\u0370-\u052f]")
 _OTHER_CYRILLIC = re.compile("[бгджзийлпфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯґєї]")
 _LATIN = re.compile("[A-Za-z]")
 _NUMBER = re.compile(r"\d+")

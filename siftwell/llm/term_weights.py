@@ -39,7 +39,6 @@ def folded_postings(postings: DataFrame, records: DataFrame, term: str = "term",
 def with_document_frequency(rows: DataFrame) -> DataFrame:
     """Adds ``df``. The frequency table is broadcast if counted to be small; else only its bounded head is, and the
     tail, in which no term has more than HEAD_SHARE of the rows, is joined by shuffle."""
-    spark = rows.sparkSession
     df = materialize(rows.groupBy("term").agg(F.count("*").alias("df")), "df")
     size = df.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("rows")).first()
     if size["terms"] <= BROADCAST_TERMS:
@@ -49,7 +48,6 @@ def with_document_frequency(rows: DataFrame) -> DataFrame:
     with_head = rows.join(F.broadcast(head), "term", "left")
     hot = with_head.filter("df IS NOT NULL")
     tail = with_head.filter("df IS NULL").drop("df").join(df.filter(F.col("df") < least).hint("shuffle_merge"), "term")
-    assert spark is not None
     return hot.unionByName(tail)
 
 
