@@ -28,6 +28,14 @@ def best_columns(s: np.ndarray, k: int) -> np.ndarray:
     return near
 
 
+def kth_at_least(s: np.ndarray, k: int) -> np.ndarray:
+    """A value that at least k columns of each row reach: the k-th of the maxima of groups of columns; the k-th of all where there are few."""
+    groups = max(4 * k, 128)
+    width = s.shape[1] // groups
+    best = s[:, : width * groups].reshape(len(s), width, groups).max(axis=1) if width > 1 else s
+    return -np.partition(-best, k - 1, axis=1)[:, k - 1]
+
+
 def key_array(column: pa.Array) -> np.ndarray:
     """Keys as an array that sorts as they do."""
     if pa.types.is_integer(column.type):
@@ -58,13 +66,15 @@ class Best:
             wide[line, at], value[line, at] = keys, scores
             self.add(first, wide, value)
 
-    def add_matrix(self, first: int, keys: np.ndarray, s: np.ndarray) -> None:
-        """The scores of all rows, in the order of their keys; after the first rows few reach what is kept, and only those are looked at."""
+    def add_matrix(self, first: int, keys: np.ndarray, s: np.ndarray, places: int) -> None:
+        """The scores of all rows, in the order of their keys, which count rounded to ``places`` and if above 0; after the first rows few reach what is kept, and only those are rounded and looked at."""
         edge = self.least(first, len(s))
         if s.shape[1] > self.k and not np.isfinite(edge).all():
-            edge = np.maximum(edge, -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1])
-        line, at = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
-        self.add_sparse(first, len(s), line, keys[at], s[line, at])
+            edge = np.maximum(edge, kth_at_least(s, self.k))
+        line, at = np.divmod(np.flatnonzero(s >= np.maximum(edge - 2 * 10.0**-places, 0.1 * 10.0**-places)[:, None]), s.shape[1])
+        scores = np.round(s[line, at], places)
+        good = scores > 0
+        self.add_sparse(first, len(s), line[good], keys[at[good]], scores[good])
 
     def add(self, first: int, keys: np.ndarray, scores: np.ndarray) -> None:
         """Rows found for the queries from ``first`` on, a line for each."""

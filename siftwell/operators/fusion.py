@@ -63,7 +63,13 @@ def _mmr(frame: pd.DataFrame, k: int, lam: float) -> pd.DataFrame:
         sims = m @ m.T
     else:
         sets = [set(t) for t in frame["terms"]]
-        sims = np.array([[len(a & b) / len(a | b) if a | b else 0.0 for b in sets] for a in sets])
+        number = {w: i for i, w in enumerate(set().union(*sets))}
+        has = np.zeros((len(sets), len(number)))
+        for i, own in enumerate(sets):
+            has[i, [number[w] for w in own]] = 1
+        shared, size = has @ has.T, has.sum(axis=1)
+        union = size[:, None] + size - shared
+        sims = np.where(union > 0, shared / np.maximum(union, 1), 0.0)
     worst, left, chosen = np.zeros(len(frame)), np.ones(len(frame), bool), []
     while left.any() and len(chosen) < k:
         value = np.where(left, lam * relevance - (1 - lam) * worst, -np.inf)

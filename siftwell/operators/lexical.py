@@ -182,11 +182,11 @@ def scores(index: LexicalIndex, q: DataFrame, allowed: Column | None = None) ->
 
 @dataclass
 class _Block:
-    """Queries of a block: their ids, the distinct terms, and for groups of queries the (query, weight) pairs by term."""
+    """Queries of a block: their ids, the distinct terms, and for groups of queries the (term, query, weight) triples by term. Its size is that of the triples, however many groups and terms there are."""
 
     ids: pa.Array
     terms: pa.Array
-    groups: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]  # first, end, start of each term's pairs, queries, weights
+    groups: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]  # first, end, terms, queries, weights
 
 
 def _block(q: pa.Table, rows: int) -> _Block:
@@ -196,15 +196,17 @@ def _block(q: pa.Table, rows: int) -> _Block:
         coded, words = coded.unify_dictionaries().chunk(0), words.unify_dictionaries().chunk(0)
     query, term, weight = coded.indices.to_numpy(), words.indices.to_numpy(), q.column("qweight").to_numpy()
     step, groups = max(1, CELLS // rows), []
+    order = np.lexsort((term, query // step))
+    query, term, weight = query[order], term[order], weight[order]
+    group = query // step
     for first in range(0, len(coded.dictionary), step):
-        own = np.flatnonzero((query >= first) & (query < first + step))
-        own = own[np.argsort(term[own], kind="stable")]
-        groups.append((first, min(len(coded.dictionary), first + step), np.searchsorted(term[own], np.arange(len(words.dictionary) + 1)), (query[own] - first).astype(np.int64), weight[own]))
+        own = slice(*np.searchsorted(group, [first // step, first // step + 1]))
+        groups.append((first, min(len(coded.dictionary), first + step), term[own].astype(np.int32), (query[own] - first).astype(np.int32), weight[own]))
     return _Block(coded.dictionary, words.dictionary, groups)
 
 
 def _sums(b: pa.RecordBatch, block: _Block, average: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(first query, scores of its group against the rows of the batch), a group at a time."""
+    """(first query, scores of its group against the rows of the batch, not yet rounded), a group at a time."""
     n = b.num_rows
     lengths = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy()
     row = np.repeat(np.arange(n), lengths)
@@ -213,7 +215,8 @@ def _sums(b: pa.RecordBatch, block: _Block, average: float) -> Iterator[tuple[in
     known = code >= 0
     row, code, tf = row[known], code[known], tf[known]
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / max(average, 1.0)))
-    for first, end, starts, query, qweight in block.groups:
+    for first, end, term, query, qweight in block.groups:
+        starts = np.append(0, np.cumsum(np.bincount(term, minlength=len(block.terms))))
         pairs = starts[code + 1] - starts[code]
         own = np.flatnonzero(pairs)
         total = np.zeros((end - first) * n)
@@ -223,8 +226,8 @@ def _sums(b: pa.RecordBatch, block: _Block, average: float) -> Iterator[tuple[in
                 some = own[i:j]
                 m = pairs[some]
                 at = np.repeat(starts[code[some]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                total += np.bincount(query[at] * n + np.repeat(row[some], m), qweight[at] * np.repeat(weight[some], m), len(total))
-        yield first, np.round(total.reshape(end - first, n), 9)
+                total += np.bincount(query[at].astype(np.int64) * n + np.repeat(row[some], m), qweight[at] * np.repeat(weight[some], m), len(total))
+        yield first, total.reshape(end - first, n)
 
 
 def best_by_blocks(index: LexicalIndex, q: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
@@ -249,11 +252,10 @@ def best_by_blocks(index: LexicalIndex, q: DataFrame, k: int, allowed: Column |
             for whole in batches:
                 for at in range(0, whole.num_rows, rows):
                     b = whole.slice(at, rows)
+                    b = b.take(pa.array(np.argsort(key_array(b.column(0)), kind="stable")))
                     keys = key_array(b.column(0))
-                    order = np.argsort(keys, kind="stable")
-                    keys = keys[order]
                     for first, s in _sums(b, block, average):
-                        best.add_matrix(first, keys, np.where(s > 0, s, -np.inf)[:, order])
+                        best.add_matrix(first, keys, s, 9)
             yield from best.batches(block.ids, key_type, ["query_id", "chunk_key", "score"])
 
         one = chunks.mapInArrow(run, out)

@@ -340,10 +340,43 @@ def test_edge_of_the_best_by_groups(columns):
     s = np.random.default_rng(1).integers(0, 400, (20, columns)).astype(np.float32)
     for k in (1, 5, 10):
         if k < columns:
-            edge = dense._kth_at_least(s, k)
+            edge = dense.kth_at_least(s, k)
             assert ((s >= edge[:, None]).sum(axis=1) >= k).all()
 
 
 def test_gates_of_codes_do_not_rescore_every_pool(spark, monkeypatch):
     monkeypatch.setattr(dense, "coarse_then_exact", lambda *a, **o: pytest.fail("every pool of every slice is scored"))
     assert sorted(tuple(r) for r in retrieval.rescored_gates(spark, "/root/testdata/sf0.001").collect()) == [(n, True) for n in ("pq", "prefix", "signs", "sq8")]
+
+
+def test_a_block_of_queries_is_as_large_as_its_terms():
+    import pickle
+
+    import pyarrow as pa
+
+    n = 20_000
+    t = pa.table({"query_id": pa.array(range(n)), "term": pa.array([f"w{i}" for i in range(n)]), "qweight": pa.array(np.ones(n))})
+    assert len(pickle.dumps(lexical._block(t, 10_000))) < 60 * n
+
+
+def test_presets_run_one_after_another(spark, monkeypatch):
+    written, own = [], retrieval.fresh_path
+    monkeypatch.setattr(retrieval, "fresh_path", lambda s, name: (written.append(name), own(s, name))[1])
+    got = retrieval.pipeline_presets(spark, "/root/testdata/sf0.001")
+    assert written == ["preset"] * 4 and {r[0] for r in got.select("preset").distinct().collect()} == {"standard", "context", "quality", "quality_context"}
+
+
+def test_mmr_by_terms_against_sets():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    terms = [[f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 9))] for _ in range(200)]
+    frame = pd.DataFrame({"rank": range(1, 201), "score": np.linspace(1, 0, 200), "embedding": [None] * 200, "terms": terms})
+    sets, worst, expected = [set(t) for t in terms], np.zeros(200), []
+    relevance = np.linspace(1, 0, 200)
+    while len(expected) < 50:
+        value = [-np.inf if i in expected else 0.5 * relevance[i] - 0.5 * worst[i] for i in range(200)]
+        expected.append(int(np.argmax(value)))
+        a = sets[expected[-1]]
+        worst = np.maximum(worst, [len(a & b) / len(a | b) if a | b else 0.0 for b in sets])
+    assert (fusion._mmr(frame, 50, 0.5)["rank"].tolist(), [r - 1 for r in fusion._mmr(frame.assign(own=frame["rank"]), 50, 0.5)["own"]]) == (list(range(1, 51)), expected)
